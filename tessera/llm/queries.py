@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, split
+from tessera.llm import conversations, leakage, lookalikes, split
 from tessera.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_chunk_counts": lambda s, d: split.chunk_counts(table(s, d, "documents"), table(s, d, "blocks")),
     "p2_found": lambda s, d: conversations.found(s, f"{d}/history_messages.parquet"),
     "p2_conversations": lambda s, d: conversations.conversations(s, f"{d}/history_messages.parquet"),
+    "p5_found": lambda s, d: lookalikes.found(s, table(s, d, "blocks"), table(s, d, "memories")),
+    "p5_canonical": lambda s, d: lookalikes.canonical(s, lookalikes.values_of(table(s, d, "blocks"), table(s, d, "memories"))),
+    "p7_found": lambda s, d: leakage.found(s, table(s, d, "documents"), table(s, d, "eval_questions")),
+    "p7_leaks": lambda s, d: leakage.leaks(s, table(s, d, "documents"), table(s, d, "eval_questions")),
 }
 
 SQL: dict[str, str] = {
