@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, leakage, lookalikes, split
+from tessera.llm import conversations, leakage, lookalikes, packing, reading_level, split
 from tessera.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_canonical": lambda s, d: lookalikes.canonical(s, lookalikes.values_of(table(s, d, "blocks"), table(s, d, "memories"))),
     "p7_found": lambda s, d: leakage.found(s, table(s, d, "documents"), table(s, d, "eval_questions")),
     "p7_leaks": lambda s, d: leakage.leaks(s, table(s, d, "documents"), table(s, d, "eval_questions")),
+    "p6_pack": lambda s, d: packing.pack(s, table(s, d, "documents")),
+    "p6_report": lambda s, d: packing.report(packing.pack(s, table(s, d, "documents"))),
+    "p8_found": lambda s, d: reading_level.found(s, table(s, d, "documents"), table(s, d, "reading_labels")),
+    "p8_levels": lambda s, d: reading_level.levels(s, table(s, d, "documents"), table(s, d, "reading_labels")),
+    "p8_profile": lambda s, d: reading_level.profile(s, table(s, d, "documents"), table(s, d, "reading_labels")),
 }
 
 SQL: dict[str, str] = {
