@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, leakage, lookalikes, packing, personal, reading_level, split
+from tessera.llm import conversations, leakage, lookalikes, near_duplicates, packing, personal, reading_level, split
 from tessera.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_chunk_counts": lambda s, d: split.chunk_counts(table(s, d, "documents"), table(s, d, "blocks")),
     "p2_found": lambda s, d: conversations.found(s, f"{d}/history_messages.parquet"),
     "p2_conversations": lambda s, d: conversations.conversations(s, f"{d}/history_messages.parquet"),
+    "p3_found": lambda s, d: near_duplicates.found(s, near_duplicates.image_records(table(s, d, "blocks"), table(s, d, "image_descriptions"))),
+    "p3_groups": lambda s, d: near_duplicates.groups(s, near_duplicates.image_records(table(s, d, "blocks"), table(s, d, "image_descriptions"))),
     "p4_found": lambda s, d: personal.found(s, table(s, d, "memories"), table(s, d, "conversation_messages")),
     "p4_redacted": lambda s, d: personal.find(s, personal.values_of(table(s, d, "memories"), table(s, d, "conversation_messages"))),
     "p5_found": lambda s, d: lookalikes.found(s, table(s, d, "blocks"), table(s, d, "memories")),
