@@ -54,7 +54,7 @@ TOKEN_BITS = 44
 TIERS = [(0, 40, 0)] + [(40 * 8**k, 40 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
 TIERS[-1] = (TIERS[-1][0], 1 << 60, TIERS[-1][2])
 BLOOM_BITS = 1 << 25
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -87,8 +87,8 @@ def frequency_code(df: np.ndarray) -> np.ndarray:
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of a record's parity bitmap: a power of two, 2 to 4 bits per token."""
-    return max(1, 1 << max(0, int(2 * n - 1).bit_length() - 6))
+    """64-bit words of a record's parity bitmap: a power of two, 3 to 6 bits per token."""
+    return max(1, 1 << max(0, int(3 * n - 1).bit_length() - 6))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def send_signatures(joined: DataFrame, ranges: int) -> DataFrame:
                 maps = {}
                 part = ((sig >> np.uint64(40)).astype(np.int64)) % ranges
                 order = np.lexsort((sig, part))
-                sig, rec, inner, part = sig[order] >> np.uint64(64 - 48), rec[order], inner[order], part[order]
+                sig, rec, inner, part = sig[order] & np.uint64((1 << 40) - 1), rec[order], inner[order], part[order]
                 edges = np.searchsorted(part, np.arange(ranges + 1))
                 for r in range(ranges):
                     s, e = edges[r], edges[r + 1]
@@ -309,7 +309,7 @@ def candidates(sent: DataFrame) -> DataFrame:
             base += len(docs)
         sig, rec, gid, n, h, m = (np.concatenate(x) for x in (sigs, recs, gids, sizes, sets, maps))
         n = n.astype(np.int64)
-        width = np.left_shift(1, np.maximum(0, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64) - 6))
+        width = np.left_shift(1, np.maximum(0, np.ceil(np.log2(np.maximum(3 * n, 1))).astype(np.int64) - 6))
         offset = np.cumsum(width) - width
         o = np.argsort(sig, kind="stable")
         sig, rec = sig[o], rec[o]
