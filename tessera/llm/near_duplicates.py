@@ -44,14 +44,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.words import C1, WordHashes, mix, shingle_hashes, words
-from tessera.session import cut
+from tessera.session import cut, scratch_path
 
 SHINGLE, THRESHOLD = 3, 0.5
 RARE = 6  # tokens in at most so many records are indexed singly
 EXPAND = 32
 BATCH_DOCS, BATCH_TOKENS = 16384, 1_500_000
 TOKEN_BITS = 44
-TIERS = [(0, 40, 0)] + [(40 * 8**k, 40 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
+TIERS = [(0, 34, 0)] + [(34 * 8**k, 34 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
 TIERS[-1] = (TIERS[-1][0], 1 << 60, TIERS[-1][2])
 BLOOM_BITS = 1 << 25
 PAIRS_AT_ONCE = 1_000_000
@@ -109,7 +109,46 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
 def _flush(task: int, number: int, held: list[tuple[int, np.ndarray]]) -> tuple:
     sizes = np.array([len(a) for _, a in held], np.int32)
     u, inverse = np.unique(np.concatenate([a for _, a in held]), return_inverse=True)
-    return (None, None, None, (task << 20) + number, squeeze_sorted(u), squeeze(inverse.astype(np.uint32)), squeeze(sizes), squeeze(np.array([h for h, _ in held], np.uint64)), int(sizes.sum()))
+    return (None, None, None, (task << 20) + number, squeeze_sorted(u), squeeze_places(inverse), squeeze(sizes), squeeze(np.array([h for h, _ in held], np.uint64)), int(sizes.sum()))
+
+
+def sets_of_frame(frame: pd.DataFrame, hashes: WordHashes, seeds: dict[str, np.uint64], shingle: int) -> Iterator[tuple[str, str, int, np.ndarray]]:
+    """(tbl, id, set hash, sorted tokens) of the rows that have tokens; the runs of all rows are hashed and sorted at once."""
+    own = [hashes(words(t)) for t in frame["text"]]
+    sizes = np.array([len(x) for x in own])
+    if sizes.sum() < shingle:
+        return
+    for tbl in frame["tbl"].unique():
+        if tbl not in seeds:
+            seeds[tbl] = hashes([f"table {tbl}"])[0]
+    row = np.repeat(np.arange(len(own)), sizes)
+    runs = shingle_hashes(np.concatenate(own), shingle)
+    row = row[: len(runs)]
+    within = row == np.repeat(np.arange(len(own)), sizes)[shingle - 1 :]
+    row, runs = row[within].astype(np.uint64), runs[within]
+    if not len(runs):
+        return
+    seed = np.array([seeds[t] for t in frame["tbl"]], np.uint64)
+    with np.errstate(over="ignore"):
+        runs = mix(runs + seed[row.astype(np.int64)]) >> np.uint64(64 - TOKEN_BITS)
+        key = np.unique((row << np.uint64(TOKEN_BITS)) | runs)
+        row, token = (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        ends = np.append(starts[1:], len(row))
+        # the table's seed is in the tokens, so equal texts of two tables are different sets
+        h = mix(np.add.reduceat(mix(token), starts) + (ends - starts).astype(np.uint64) * C1)
+    tbls, ids = frame["tbl"].to_numpy(), frame["id"].to_numpy()
+    for k, s, e in zip(h.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        yield tbls[row[s]], ids[row[s]], k, token[s:e]
+
+
+def squeeze_places(places: np.ndarray) -> bytes:
+    """Places ascend within a record: their differences (modulo 2^32) are mostly small."""
+    return squeeze(np.diff(places.astype(np.uint32), prepend=np.uint32(0)))
+
+
+def stretch_places(data: bytes) -> np.ndarray:
+    return np.cumsum(stretch(data, np.uint32), dtype=np.uint32)
 
 
 BATCHES = "tbl string, id string, h long, batch long, tokens binary, places binary, sizes binary, sets binary, total long"
@@ -125,15 +164,7 @@ def batches(records: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         total, seeds = 0, {}
         for frame in frames:
             members = []
-            for tbl, key, text in zip(frame["tbl"], frame["id"], frame["text"], strict=True):
-                own = shingle_hashes(hashes(words(text)), shingle)
-                if not len(own):
-                    continue
-                if tbl not in seeds:
-                    seeds[tbl] = hashes([f"table {tbl}"])[0]
-                with np.errstate(over="ignore"):
-                    own = np.unique(mix(own + seeds[tbl]) >> np.uint64(64 - TOKEN_BITS))
-                    h = int(mix(np.array([mix(own).sum() + np.uint64(len(own)) * C1], np.uint64))[0])
+            for tbl, key, h, own in sets_of_frame(frame, hashes, seeds, shingle):
                 members.append((tbl, key, h - (1 << 64) if h >> 63 else h))
                 if h not in held:
                     held[h] = own
@@ -158,7 +189,7 @@ def frequencies(packed: DataFrame, ranges: int) -> DataFrame:
         for frame in frames:
             for batch, tokens, places in zip(frame["batch"], frame["tokens"], frame["places"], strict=True):
                 u = stretch_sorted(tokens)
-                n = np.bincount(stretch(places, np.uint32), minlength=len(u)).astype(np.uint32)
+                n = np.bincount(stretch_places(places), minlength=len(u)).astype(np.uint32)
                 ends = np.searchsorted(u, (np.arange(1, ranges + 1, dtype=np.float64) * (2.0**TOKEN_BITS / ranges)).astype(np.uint64))
                 starts = np.concatenate(([0], ends[:-1]))
                 yield pd.DataFrame([(r, batch, squeeze_sorted(u[s:e]), squeeze(n[s:e])) for r, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s], columns=["r", "batch", "tokens", "n"])
@@ -245,14 +276,14 @@ def send_signatures(joined: DataFrame, ranges: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                u, places, sizes, sets = stretch_sorted(row.tokens), stretch(row.places, np.uint32), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64)
+                u, places, sizes, sets = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64)
                 code = np.concatenate([stretch(x, np.uint8) for x in row.codes])
                 sig, rec, inner = signatures(u, code, places, sizes)
                 starts = np.cumsum(sizes) - sizes
                 maps = {}
                 part = ((sig >> np.uint64(40)).astype(np.int64)) % ranges
                 order = np.lexsort((sig, part))
-                sig, rec, inner, part = sig[order] & np.uint64((1 << 40) - 1), rec[order], inner[order], part[order]
+                sig, rec, inner, part = sig[order] & np.uint64((1 << 32) - 1), rec[order], inner[order], part[order]
                 edges = np.searchsorted(part, np.arange(ranges + 1))
                 for r in range(ranges):
                     s, e = edges[r], edges[r + 1]
@@ -301,14 +332,14 @@ def candidates(sent: DataFrame) -> DataFrame:
         for row in frame.itertuples():
             docs = stretch(row.docs, np.uint32)
             sigs.append(stretch_sorted(row.sig))
-            recs.append(stretch(row.rec, np.uint32).astype(np.int64) + 2 * base)
+            recs.append(stretch(row.rec, np.uint32).astype(np.int32) + np.int32(2 * base))
             gids.append((np.int64(row.batch) << 15) + docs.astype(np.int64))
             sizes.append(stretch(row.sizes, np.int32))
             sets.append(stretch(row.sets, np.uint64))
             maps.append(np.frombuffer(row.maps, np.uint64))
             base += len(docs)
         sig, rec, gid, n, h, m = (np.concatenate(x) for x in (sigs, recs, gids, sizes, sets, maps))
-        n = n.astype(np.int64)
+        n = n.astype(np.int32)
         width = np.left_shift(1, np.maximum(0, np.ceil(np.log2(np.maximum(3 * n, 1))).astype(np.int64) - 6))
         offset = np.cumsum(width) - width
         o = np.argsort(sig, kind="stable")
@@ -319,21 +350,21 @@ def candidates(sent: DataFrame) -> DataFrame:
         lone = np.repeat(run_length == 1, run_length)
         sig, rec = sig[~lone], rec[~lone]
         run_length = run_length[run_length > 1]
-        left = np.repeat(np.cumsum(run_length), run_length) - 1 - np.arange(len(sig))  # partners after each entry in its run
+        left = (np.repeat(np.cumsum(run_length), run_length) - 1 - np.arange(len(sig))).astype(np.int32)  # partners after each entry in its run
         inner, rec = (rec & 1).astype(bool), rec >> 1
         out: list[np.ndarray] = []
-        edges = np.concatenate(([0], np.cumsum(left)))
+        edges = np.concatenate(([0], np.cumsum(left, dtype=np.int64)))
         at = 0
         while at < len(sig):  # as many entries at once as make PAIRS_AT_ONCE pairs; a single hot entry is still bounded by its run
             stop = max(at + 1, int(np.searchsorted(edges, edges[at] + PAIRS_AT_ONCE, "right")) - 1)
             k = left[at:stop]
-            i = np.repeat(np.arange(at, stop), k)
-            j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            i = np.repeat(np.arange(at, stop, dtype=np.int32), k)
+            j = i + 1 + (np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)
             x, y = rec[i], rec[j]
             nx, ny = n[x], n[y]
             fits = np.where(nx == ny, inner[i] & inner[j], np.where(nx < ny, inner[i], inner[j])) & (2 * np.minimum(nx, ny) >= np.maximum(nx, ny)) & (h[x] != h[y])
             x, y = x[fits], y[fits]
-            pair = np.unique(np.minimum(x, y) * len(gid) + np.maximum(x, y))
+            pair = np.unique(np.minimum(x, y).astype(np.int64) * len(gid) + np.maximum(x, y))
             x, y = pair // len(gid), pair % len(gid)
             good = passing(x, y, n, m, offset, width)
             out.append(pair[good])
@@ -388,7 +419,7 @@ def verified(spark: SparkSession, packed: DataFrame, pairs: DataFrame) -> DataFr
         flags = np.unpackbits(needed.value).astype(bool)
         for frame in frames:
             for row in frame.itertuples():
-                u, places, sizes = stretch_sorted(row.tokens), stretch(row.places, np.uint32), stretch(row.sizes, np.int32)
+                u, places, sizes = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32)
                 gid = (np.int64(row.batch) << 15) + np.arange(len(sizes), dtype=np.int64)
                 one, two = bloom_places(gid, len(flags))
                 ends = np.cumsum(sizes)
@@ -416,13 +447,21 @@ def verified(spark: SparkSession, packed: DataFrame, pairs: DataFrame) -> DataFr
 # ---- the operator
 
 
+def bucketed(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: a later join on it moves the other side only."""
+    path = scratch_path(spark, "bucketed")
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def similar_sets(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): tbl, id, h of every record with tokens, and ha < hb, similarity of the linked classes."""
-    stored = cut(spark, batches(records), "batches")
+    stored = bucketed(spark, batches(records), "batch")
     packed = stored.where("batch IS NOT NULL")
     members = stored.where("batch IS NULL").select("tbl", "id", "h").distinct()
     total = packed.agg(F.sum("total")).first()[0] or 0
-    ranges = max(6, -(-total // 5_000_000))  # hash ranges of some million tokens each
+    ranges = max(6, -(-total // 6_000_000))  # hash ranges of some million tokens each
     joined = packed.select("batch", "tokens", "places", "sizes", "sets").join(frequencies(packed, ranges), F.col("batch") == F.col("b")).drop("b")
     pairs = cut(spark, candidates(send_signatures(joined, ranges)), "candidates")
     return members, verified(spark, packed, pairs)
