@@ -100,7 +100,7 @@ def slug(text: str) -> str:
 
 def visible(text: str) -> str:
     """Inline marks removed: links keep their label, emphasis its content; zero-width characters go."""
-    text = LINK.sub(r"\1", re.sub("[​‌⁠﻿]", "", text))
+    text = LINK.sub(r"\1", re.sub("[\u200b\u200c\u2060\ufeff]", "", text))
     for _ in range(3):
         text = EMPHASIS.sub(r"\2", text)
     return text.strip()
@@ -108,7 +108,7 @@ def visible(text: str) -> str:
 
 def blocks_of(text: str | None) -> list[dict]:
     """Blocks in order: kind (heading, text, code, list, quote, table, image, frontmatter), text, level, anchor, src."""
-    lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿").split("\n")
+    lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff").split("\n")
     out: list[dict] = []
     anchors: dict[str, int] = {}
     held: list[str] = []

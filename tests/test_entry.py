@@ -3,9 +3,8 @@
 import glob
 import os
 
-import numpy as np
-import pandas as pd
 import pytest
+from tests_support import duck, rows
 
 import __spark_entry__ as entry
 
@@ -14,39 +13,12 @@ CORE = [n for n in entry.queries() if not (n[0] == "p" and n[1].isdigit())]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
-def plain(x):
-    if x is None or x is pd.NaT or x is pd.NA:
-        return None
-    if isinstance(x, list | tuple | np.ndarray):
-        return str([plain(v) for v in x])
-    if isinstance(x, bool | np.bool_):
-        return str(bool(x))
-    if isinstance(x, int | float | np.integer | np.floating):
-        return None if x != x else f"{float(x):.9g}"
-    return str(x)
-
-
-def rows(df):
-    df = df[sorted(df.columns)].astype(object)
-    return sorted([tuple(plain(v) for v in r) for r in df.itertuples(index=False)], key=str)
-
-
-def duck():
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
-    for f in glob.glob(f"{DIR}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    return con
-
-
 @pytest.mark.parametrize("name", CORE)
 def test_query(spark, name):
     got = entry.queries()[name](spark, DIR).toPandas()
     sql = entry.oracle_sql().get(name)
     if sql:
-        want = duck().execute(sql).df()
+        want = duck(DIR).execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
 
