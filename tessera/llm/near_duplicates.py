@@ -86,17 +86,25 @@ def frequency_code(df: np.ndarray) -> np.ndarray:
     return np.where(df <= 32, df, np.minimum(high, 255)).astype(np.uint8)
 
 
-def bitmap_words(n: int) -> int:
-    """64-bit words of a record's parity bitmap: a power of two, 3 to 6 bits per token."""
-    return max(1, 1 << max(0, int(3 * n - 1).bit_length() - 6))
+def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The records' bitmaps in one array, with their offsets and widths in words. Bit i is the parity of the tokens that hash
+    to it, so folding a bitmap in halves gives the smaller bitmap of the same set."""
+    widths = bitmap_widths(sizes)
+    offsets = np.cumsum(widths) - widths
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    at = (mix(tokens + C1) >> np.uint64(20)).astype(np.int64) & (widths[record] * 64 - 1)
+    bits = np.bincount(offsets[record] * 64 + at, minlength=int(widths.sum()) * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64), offsets, widths
+
+
+def bitmap_widths(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the records' bitmaps: powers of two, 3 to 6 bits per token."""
+    return np.left_shift(1, np.maximum(0, np.ceil(np.log2(np.maximum(3 * n.astype(np.int64), 1))).astype(np.int64) - 6))
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bit i is the parity of the tokens that hash to it. Folding it in halves gives the smaller bitmap of the same set."""
-    size = bitmap_words(len(tokens))
-    at = (mix(tokens + C1) >> np.uint64(20)).astype(np.int64) % (size * 64)
-    bits = (np.bincount(at, minlength=size * 64) & 1).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, … of every span, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
 # ---- 1 batches
@@ -271,7 +279,10 @@ SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary, se
 
 
 def send_signatures(joined: DataFrame, ranges: int) -> DataFrame:
-    """Per batch and hash range: its signatures with the records they belong to, and those records' sizes and bitmaps."""
+    """Per batch and hash range: its signatures with the records they belong to, and those records' sizes and bitmaps.
+    Within its range a signature keeps 32 bits: a range holds some million, and false meetings fail the bitmap bound."""
+    lows = np.array([r * (1 << 64) // ranges for r in range(ranges)], np.uint64)
+    shift = np.uint64(max(0, ((1 << 64) // ranges).bit_length() - 32))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -279,22 +290,16 @@ def send_signatures(joined: DataFrame, ranges: int) -> DataFrame:
                 u, places, sizes, sets = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64)
                 code = np.concatenate([stretch(x, np.uint8) for x in row.codes])
                 sig, rec, inner = signatures(u, code, places, sizes)
-                starts = np.cumsum(sizes) - sizes
-                maps = {}
-                part = ((sig >> np.uint64(40)).astype(np.int64)) % ranges
-                order = np.lexsort((sig, part))
-                sig, rec, inner, part = sig[order] & np.uint64((1 << 32) - 1), rec[order], inner[order], part[order]
-                edges = np.searchsorted(part, np.arange(ranges + 1))
+                maps, offsets, widths = bitmaps(u[places], sizes)
+                order = np.argsort(sig)
+                sig, rec, inner = sig[order], rec[order], inner[order]
+                edges = np.append(np.searchsorted(sig, lows), len(sig))
                 for r in range(ranges):
                     s, e = edges[r], edges[r + 1]
                     if s == e:
                         continue
                     docs, local = np.unique(rec[s:e], return_inverse=True)
-                    for d in docs.tolist():
-                        if d not in maps:
-                            maps[d] = bitmap(u[places[starts[d] : starts[d] + sizes[d]]])
-                    o = np.argsort(sig[s:e], kind="stable")
-                    yield pd.DataFrame([(r, row.batch, squeeze_sorted(sig[s:e][o]), squeeze((local * 2 + inner[s:e])[o].astype(np.uint32)), squeeze(docs.astype(np.uint32)), squeeze(sizes[docs]), squeeze(sets[docs]), np.concatenate([maps[d] for d in docs.tolist()]).tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "sets", "maps"])
+                    yield pd.DataFrame([(r, row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 2 + inner[s:e]).astype(np.uint32)), squeeze(docs.astype(np.uint32)), squeeze(sizes[docs]), squeeze(sets[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "sets", "maps"])
 
     return joined.mapInPandas(run, SENT)
 
@@ -340,7 +345,7 @@ def candidates(sent: DataFrame) -> DataFrame:
             base += len(docs)
         sig, rec, gid, n, h, m = (np.concatenate(x) for x in (sigs, recs, gids, sizes, sets, maps))
         n = n.astype(np.int32)
-        width = np.left_shift(1, np.maximum(0, np.ceil(np.log2(np.maximum(3 * n, 1))).astype(np.int64) - 6))
+        width = bitmap_widths(n)
         offset = np.cumsum(width) - width
         o = np.argsort(sig, kind="stable")
         sig, rec = sig[o], rec[o]

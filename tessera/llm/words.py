@@ -8,12 +8,24 @@ import numpy as np
 
 #: Chinese characters: the unified ideographs with extension A and the compatibility block, and the higher planes.
 HAN = "〇㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
-WORD = re.compile(f"[{HAN}]|[^\\W_{HAN}]+")
+IS_HAN = re.compile(f"[{HAN}]")
+WORD, RUN = re.compile(f"[^\\W_{HAN}]+"), re.compile(f"[{HAN}]+|[^\\W_{HAN}]+")
 
 
 def words(text: str | None) -> list[str]:
     """The words of ``text`` in order; none for null."""
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    if not IS_HAN.search(text):
+        return WORD.findall(text)
+    out: list[str] = []
+    for run in RUN.findall(text):
+        if IS_HAN.match(run):
+            out.extend(run)
+        else:
+            out.append(run)
+    return out
 
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
