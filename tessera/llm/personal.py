@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-LONGEST, TRAINING, EPOCHS, SEED = 160, 2400, 6, 11
+LONGEST, TRAINING, EPOCHS, SEED = 160, 5000, 8, 11
 
 #: Family names that a Chinese personal name starts with (fixed values).
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤祁桑景沐纪简温庄柯翟安柳俞章梅盛童颜聂詹岳齐邢路关焦鲁左涂耿阮季管卜裴苗凌喻牛葛伍申屠尤倪戚柏鲍骆霍柴洪包甘"
@@ -41,8 +41,8 @@ TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Professor|Doctor)"
 AT, DOT = r"(?:\s*[\(\[{<]\s*(?:at|ät|AT|At)\s*[\)\]}>]\s*|\s+(?:at|AT)\s+|\s*艾特\s*)", r"(?:\s*[\(\[{<]\s*(?:dot|DOT|Dot|punkt)\s*[\)\]}>]\s*|\s+(?:dot|DOT)\s+|\s*点\s*)"
 H = "一-鿿"
 
-#: What may follow a street: nothing, a unit, a place, a place with its code; each is a candidate of its own.
-PARTS = ["", rf",? {UNIT}", rf"(?:,? {UNIT})?, {CAP}(?: {CAP}){{0,2}}", rf"(?:,? {UNIT})?, {CAP}(?: {CAP}){{0,2}},?(?: [A-Z]{{2}})? \d{{4,6}}"]
+#: What may follow a street: nothing, a full stop, a unit, a place, a place with its code; each is a candidate of its own.
+PARTS = ["", r"\.", rf"\.?,? {UNIT}", rf"\.?(?:,? {UNIT})?, {CAP}(?: {CAP}){{0,2}}", rf"\.?(?:,? {UNIT})?, {CAP}(?: {CAP}){{0,2}},?(?: [A-Z]{{2}})? \d{{4,6}}"]
 
 #: What may be an entity: (kind, name of the shape, pattern). Wide on purpose: the model decides.
 SHAPES = [
@@ -53,7 +53,7 @@ SHAPES = [
     ("id_number", "social", re.compile(r"(?<![A-Za-z0-9_-])\d{3}[- ]\d{2}[- ]\d{4}(?![A-Za-z0-9_-])")),
     ("id_number", "insurance", re.compile(r"(?<![A-Za-z0-9_-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?![A-Za-z0-9_-])")),
     ("id_number", "run", re.compile(r"(?<![A-Za-z0-9_.-])(?:[A-Z]{1,3})?\d{7,17}[A-Z]?(?![A-Za-z0-9_-])")),
-    *(("address", f"street{n}", re.compile(rf"(?:{UNIT},? )?(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?:{CAP} ){{1,3}}(?:{STREET})\b\.?{rest}")) for n, rest in enumerate(PARTS)),
+    *(("address", f"street{n}", re.compile(rf"(?:{UNIT},? )?(?<![A-Za-z0-9_.-])\d{{1,5}}[A-Za-z]? (?:{CAP} ){{1,3}}(?:{STREET})\b{rest}")) for n, rest in enumerate(PARTS)),
     ("address", "joined", re.compile(rf"{CAP}(?:straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|str\.)\s\d{{1,4}}[a-z]?(?:, \d{{4,5}} {CAP}(?: {CAP})?)?")),
     ("address", "han", re.compile(rf"(?=((?:[{H}]{{2,4}}省)?(?:[{H}]{{2,4}}市)?(?:[{H}]{{2,4}}[区县镇乡])?[{H}]{{1,5}}?(?:大道|路|街|道|巷|弄|胡同)\d{{1,5}}[号弄](?:\d{{1,4}}[栋幢号座楼])?(?:\d{{1,3}}单元)?(?:\d{{1,3}}[楼层])?(?:\d{{1,5}}[室户])?))")),
     ("person", "titled", re.compile(rf"\b{TITLE}\.? {CAP}(?: {CAP})?")),
@@ -121,6 +121,9 @@ def features(text: str, start: int, end: int, kind: str, shape: str) -> list[str
     if shape == "han":
         cut = re.search("[市区]", span)
         out += [f"{k}first{span[0]}", f"{k}head{cut.start() if cut else -1}", k + "full" * ("市" in span and "区" in span)]
+    if shape.startswith("street"):
+        more = text[end : end + 48]
+        out.append(k + ("unit" if re.match(rf",? {UNIT}", more) else "code" if re.match(r",? (?:[A-Z]{2} )?\d{4,6}\b", more) else "place" if re.match(rf", {CAP}(?: {CAP})?(?: \d{{4,6}}|\s*[.,;。，；\n|\"]|$)", more) else "ends"))
     if kind == "person" and shape in ("pair", "turned", "capitals"):
         low = [w.lower() for w in re.findall(CAP if shape != "capitals" else r"[A-Z]+", span)]
         out += [k + "plain"] * any(w in PLAIN for w in low) + [k + "plain2"] * all(w in PLAIN for w in low)
@@ -151,7 +154,12 @@ class SemiCRF:
         self.w: dict[str, float] = {}
 
     def lattice(self, text: str) -> list[tuple[int, int, str, list[str]]]:
-        return [(s, e, k, features(text, s, e, k, shape)) for s, e, k, shape in candidates(text)]
+        """The candidates with their features; a segment that several shapes propose is one with the features of all."""
+        out: dict[tuple[int, int, str], list[str]] = {}
+        for s, e, k, shape in candidates(text):
+            own = features(text, s, e, k, shape)
+            out[s, e, k] = list(dict.fromkeys(out.get((s, e, k), []) + own))
+        return [(*key, feats) for key, feats in out.items()]
 
     def score(self, feats: list[str]) -> float:
         w = self.w
@@ -229,6 +237,7 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
     low = lambda: name().lower()
     coined = lambda: low() + pick(["", f"-{r.randint(1, 99)}", f"_{low()[:4]}"])
     d = lambda n: "".join(str(r.randint(0, 9)) for _ in range(n))
+    place = lambda: pick(["Little ", "Port ", "", "", name() + " "]) + name()
     han = lambda n: "".join(pick("青禾星野望舒清越砚秋南枝若笙见山云岫明远子涵雨桐文博思远晓东志强丽华建国海燕春梅浩然") for _ in range(n))
 
     def entity(kind: str) -> str:
@@ -247,7 +256,7 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
             if r.random() < 0.2:
                 return f"{name()}{pick(['straße', 'weg', 'gasse', 'allee'])} {r.randint(1, 99)}" + pick(["", f", 00{d(3)} {name()}"])
             street = f"{r.randint(1, 499)} {name()}{pick(['', ' ' + name(), ' Bank'])} {pick(['Street', 'St.', 'St', 'Road', 'Rd', 'Lane', 'Close', 'Avenue', 'Ave', 'Terrace'])}"
-            return pick([street, f"Flat {r.randint(1, 40)}, {street}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}", f"{street}, {name()}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}, {pick(['Little ', 'Port ', ''])}{name()} 00{d(3)}", f"{street}, {pick(['Little ', 'Port ', ''])}{name()}"])
+            return pick([street, f"Flat {r.randint(1, 40)}, {street}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}", f"{street}, {name()}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}, {place()} 00{d(3)}", f"{street}, {place()}"])
         if r.random() < 0.35:
             return pick("祁桑景沐纪陆简王李张刘陈杨赵周吴") + han(pick([1, 2, 2, 2]))
         return pick([f"{name()} {name()}"] * 4 + [f"{pick(['Dr.', 'Prof.', 'Mr', 'Ms', 'Mrs', 'Dr'])} {name()}", f"{name()}, {name()}", f"{name()} {pick('ABCDEFGHJKLMNPRSTVW')}."])

@@ -63,7 +63,7 @@ def prose(text: str) -> list[str]:
     """The lines of running prose."""
     lines, out, fence = text.split("\n"), [], ""
     start = 0
-    if lines and lines[0].strip("﻿ \t") == "---":
+    if lines and lines[0].strip("\ufeff \t") == "---":
         stop = next((i for i in range(1, len(lines)) if lines[i].strip() in ("---", "...")), 0)
         start = stop + 1 if stop else 0
     for line in lines[start:]:
