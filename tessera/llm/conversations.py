@@ -6,7 +6,8 @@ segment's messages, merges deliveries of the same message, and on closure or eve
 and a summary. Summaries form a monoid; two levels of small groups join them into one verdict per conversation.
 
 The stored table is replayed as a stream. Its rows are in no order and its clocks jump, so the watermark's delay is the
-whole span of its event times: no row is late. A closing row past that span ends the replay: it moves the watermark
+whole span of its event times: no row is late and no conversation closes early, in however many micro-batches it is read.
+When all rows are read, the query goes on from its checkpoint with a closing row past that span, which moves the watermark
 beyond every timeout. On a live stream, ``delay`` and ``timeout`` are the caller's, and rows later than the delay are
 the stream's late data, counted by Spark (``numRowsDroppedByWatermark``).
 
@@ -55,10 +56,10 @@ def role_of(spelling: str | None) -> str | None:
 
 def visible(content: str | None) -> bool:
     """Whether anything of ``content`` shows: not only white space, controls, format characters, marks or fillers."""
-    return content is not None and any(unicodedata.category(ch)[0] not in "ZCM" and ch not in "ᅟᅠㅤﾠ⠀" for ch in content)
+    return content is not None and any(unicodedata.category(ch)[0] not in "ZCM" and ch not in "\u115f\u1160\u3164\uffa0\u2800" for ch in content)
 
 
-STATE = T.StructType([T.StructField("buffer", T.StringType())])
+STATE = T.StructType([T.StructField("buffer", T.StringType()), T.StructField("last_ms", T.LongType())])
 OUT = "conversation_id string, segment long, kind string, sequence long, speaker string, message_id string, content string, n long, low long, high long, ok boolean, first string, last string"
 OUT_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
@@ -101,23 +102,24 @@ def rebuild_stream(messages: DataFrame, delay: str, timeout_s: int, segment: int
     )
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
+        held, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
         if state.hasTimedOut:
             state.remove()
             turns, summary = summarise(held)
             rows = [(*key, "turn", *t, None, None, None, None, None, None) for t in turns]
             rows.append((*key, "summary", None, None, None, None, *summary))
-            yield pd.DataFrame(rows, columns=OUT_COLUMNS).astype(object).where(lambda d: d.notna(), None)
+            yield pd.DataFrame(rows, columns=OUT_COLUMNS, dtype=object)
             return
         for frame in frames:
+            last = max(last, int(frame["event_time"].max().timestamp() * 1000))
             for mid, role, content, seq, us in zip(frame["message_id"], frame["role"], frame["content"], frame["sequence"], frame["created_us"], strict=True):
                 clean = lambda v: None if v is None or v != v else v
                 seq, us = clean(seq), clean(us)
                 if key[1] == -1:  # one such message breaks the conversation: its text need not be held
                     mid, content = "broken", None
                 merge_message(held, mid, [None if us is None else int(us), None if seq is None or key[1] == -1 else int(seq), clean(role), clean(content)])
-        state.update((json.dumps(held, ensure_ascii=False),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, 1) + timeout_s * 1000)
+        state.update((json.dumps(held, ensure_ascii=False), last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_s * 1000)  # closed when the watermark is past its last message
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -131,19 +133,25 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1000, timeou
     span = stored.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
     low, high = (span["a"], span["b"]) if span["a"] is not None else (pd.Timestamp("2000-01-01"),) * 2
     seconds = int((pd.Timestamp(high) - pd.Timestamp(low)).total_seconds()) + 3600
-    close = scratch_path(spark, "close")
     end = F.lit(str(pd.Timestamp(high) + pd.Timedelta(seconds=2 * seconds + 2 * timeout_s + 3600))).cast("timestamp")
     fields = ["conversation_id", "message_id", "role", "content", "sequence", "created_at"]
     shape = stored.select(*fields)
-    spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in shape.schema.fields if f.name != "created_at"], end.cast(shape.schema["created_at"].dataType).alias("created_at")).select(*fields).withColumn("conversation_id", F.lit("\0close")).write.parquet(close)
+    closing, out, state = (scratch_path(spark, x) for x in ("closing", "conversations", "state"))
+    shape.limit(0).write.parquet(closing)
     # a pattern that matches the path alone: the file source takes a plain path for a folder, and the table may be one file
-    read = lambda p, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{p[:-1]}[{p[-1]}]")
-    rows = read(path, shape.schema).unionByName(read(close, spark.read.parquet(close).schema))
+    read = lambda p: spark.readStream.schema(shape.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{p[:-1]}[{p[-1]}]")
+    rows = read(path).unionByName(read(closing))
     time = F.coalesce(F.col("created_at").cast("timestamp"), F.lit(str(low)).cast("timestamp"))
     rows = rows.withColumns({"event_time": time, "created_us": F.unix_micros(F.col("created_at").cast("timestamp"))})
-    out, state = scratch_path(spark, "conversations"), scratch_path(spark, "state")
-    query = rebuild_stream(rows, f"{seconds} seconds", timeout_s).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream = rebuild_stream(rows, f"{seconds} seconds", timeout_s)
+
+    def run() -> None:
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    row = [F.lit("\0close").alias("conversation_id"), *[F.lit(None).cast(shape.schema[f].dataType).alias(f) for f in fields[1:-1]], end.cast(shape.schema["created_at"].dataType).alias("created_at")]
+    spark.range(1).select(*row).write.mode("append").parquet(closing)
+    run()
     return spark.read.schema(OUT).parquet(out).where(F.col("conversation_id") != "\0close")
 
 
