@@ -519,4 +519,7 @@ def groups(spark: SparkSession, records: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     own = members.join(components(spark, links), "h", "left").join(degree, "h", "left").withColumn("component", F.coalesce("component", "h"))
     names = own.groupBy("tbl", "component").agg(F.min("id").alias("group_id"))
-    return own.join(names, ["tbl", "component"]).select("tbl", "id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+    # an id with several texts is in the group of the smallest name; records without tokens are groups of their own
+    named = own.join(names, ["tbl", "component"]).groupBy("tbl", "id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))
+    every = records.where("id IS NOT NULL").select("tbl", "id").distinct()
+    return every.join(named, ["tbl", "id"], "left").select("tbl", "id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

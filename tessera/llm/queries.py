@@ -30,7 +30,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_profile": lambda s, d: reading_level.profile(s, table(s, d, "documents"), table(s, d, "reading_labels")),
 }
 
+#: A word in DuckDB's dialect: a Chinese character, or letters and digits that are none.
+WORD_SQL = r"[一-鿿㐀-䶿]|(?:[^\P{L}一-鿿㐀-䶿]|\p{N})+"
+LOOKS_SQL = "".join(sorted(lookalikes.LOOKS))
+PART_SQL = r"[\p{Latin}\p{N}_\p{Greek}\p{Cyrillic}]*"
+
 SQL: dict[str, str] = {
+    "p3_found": f"""
+        WITH t AS (SELECT DISTINCT 'blocks' AS tbl, block_id AS id, text FROM blocks WHERE block_id IS NOT NULL AND text IS NOT NULL
+                   UNION ALL SELECT DISTINCT 'image_descriptions', content_hash, description FROM image_descriptions WHERE content_hash IS NOT NULL AND description IS NOT NULL),
+        r AS (SELECT tbl, id, row_number() OVER (ORDER BY tbl, id, text) AS k, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM t),
+        s AS (SELECT DISTINCT tbl, id, k, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - 2)) AS i FROM r)),
+        n AS (SELECT k, any_value(tbl) AS tbl, any_value(id) AS id, count(*) AS n FROM s GROUP BY k),
+        o AS (SELECT a.k AS ka, b.k AS kb, count(*) AS o FROM s a JOIN s b ON a.tbl = b.tbl AND a.h = b.h AND a.k < b.k GROUP BY a.k, b.k)
+        SELECT DISTINCT x.tbl, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b
+        FROM o JOIN n x ON x.k = ka JOIN n y ON y.k = kb WHERE x.id <> y.id AND 2 * o >= x.n + y.n - o""",
+    "p5_found": rf"""
+        WITH v AS (SELECT 'blocks' AS tbl, block_id AS row_id, 'text' AS field, text AS value FROM blocks UNION ALL SELECT 'blocks', block_id, 'heading_path', heading_path FROM blocks UNION ALL SELECT 'memories', id, 'statement', statement FROM memories)
+        SELECT DISTINCT tbl, row_id, field FROM v
+        WHERE regexp_matches(value, '[\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}\x{{300}}-\x{{36F}}\x{{AD}}\x{{200B}}\x{{200C}}\x{{2060}}\x{{FEFF}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{1D400}}-\x{{1D7FF}}\x{{FB00}}-\x{{FB06}}\x{{2E80}}-\x{{2FDF}}]')
+           OR regexp_matches(value, '(^|[^\x{{1F000}}-\x{{1FAFF}}\x{{FE0F}}])\x{{200D}}') OR regexp_matches(value, '\p{{Latin}}{PART_SQL}[{LOOKS_SQL}]|[{LOOKS_SQL}]{PART_SQL}\p{{Latin}}')""",
+    "p7_found": f"""
+        WITH p AS (SELECT id AS item_id, question AS t FROM eval_questions UNION SELECT id, unnest(evidence).snippet FROM eval_questions),
+        pw AS (SELECT item_id, regexp_extract_all(lower(t), '{WORD_SQL}') AS w FROM p),
+        pg AS (SELECT DISTINCT item_id, hash(w[i : i + 14]) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - 14)) AS i FROM pw)),
+        dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
+        dg AS (SELECT doc_id, hash(w[i : i + 14]) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - 14)) AS i FROM dw))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN pg USING (h)""",
     "p1_found": r"""
         SELECT DISTINCT block_id,
                CASE WHEN regexp_matches(text, '[^\n。！？.!?；;]{1000}[^\n。！？.!?；;]{1000}[^\n。！？.!?；;]') THEN 'forced' ELSE 'natural' END AS cut
