@@ -50,10 +50,12 @@ FOLDS = "[\\x{A0}-\\x{BF}\\x{132}-\\x{17F}\\x{1C4}-\\x{1FF}\\x{2B0}-\\x{2E4}\\x{
 
 def canonical_percentiles(c: Column) -> Column:
     """P99, 99% 分位 and 九九分位 become `` p99 ``; superfluous zeros go."""
-    c = F.regexp_replace(F.when(c.rlike(FOLDS), compatibility_folded(c)).otherwise(c), "(?:九十九|九九)(?=\\s*%?\\s*(?:百分位|分位))", "99")
-    c = F.regexp_replace(c, PERCENTILE, " p$1$2 ")
-    c = F.regexp_replace(c, r"(?<= p)0+(?=\d)", "")
-    return F.regexp_replace(F.regexp_replace(c, r"(?<= p\d{1,2}\.\d{0,6}?)0+(?= )", ""), r"(?<= p\d{1,2})\.(?= )", "")
+    c = F.when(c.rlike(FOLDS), compatibility_folded(c)).otherwise(c)
+    n = F.regexp_replace(c, "(?:九十九|九九)(?=\\s*%?\\s*(?:百分位|分位))", "99")
+    n = F.regexp_replace(n, PERCENTILE, " p$1$2 ")
+    n = F.regexp_replace(n, r"(?<= p)0+(?=\d)", "")
+    n = F.regexp_replace(F.regexp_replace(n, r"(?<= p\d{1,2}\.\d{0,6}?)0+(?= )", ""), r"(?<= p\d{1,2})\.(?= )", "")
+    return F.when(c.rlike(r"分位|[pP]\d"), n).otherwise(c)
 
 
 def tokens(c: Column) -> Column:

@@ -11,19 +11,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import cut
 
 K1, B = 1.5, 0.75
 
 
-def term_counts(records: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl (number of tokens) and (term, tf) of each record: counted per record, before any shuffle."""
-    toks = records.select(key, T.tokens(F.col(text)).alias("toks"))
-    return toks.select(key, F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: A term that no text has: every record's own row, which carries its length into the corpus statistics.
+RECORD = "\0"
 
 
-def corpus_size(records: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: n and avgdl over all records, also those without a token."""
-    return records.select(F.size(T.tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions (small tables); large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def term_counts(records: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """key, dl (number of tokens), term, tf, and a row RECORD for each record; of the other terms those in ``wanted``.
+    Texts are tokenised once; counting is partial per task before the shuffle."""
+    toks = spread(records.select(key, text)).select(key, T.tokens(F.col(text)).alias("toks"))
+    rows = toks.select(key, F.size("toks").alias("dl"), F.explode(F.array_append("toks", F.lit(RECORD))).alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(RECORD,)], "term string")), "term", "left_semi")
+    return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def with_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -33,8 +43,11 @@ def with_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def document_frequency(records: DataFrame, key: str, text: str) -> DataFrame:
     """term, df, idf."""
-    df = records.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return with_idf(df, corpus_size(records, key, text)).select("term", "df", "idf")
+    toks = spread(records.select(key, text)).select(T.tokens(F.col(text)).alias("toks"))
+    rows = toks.select(F.size("toks").alias("dl"), F.explode(F.array_append(F.array_distinct("toks"), F.lit(RECORD))).alias("term"))
+    df = cut(records.sparkSession, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dls")), "frequencies")
+    stats = df.where(F.col("term") == RECORD).select(F.col("df").alias("n"), (F.col("dls") / F.col("df")).alias("avgdl"))
+    return with_idf(df.where(F.col("term") != RECORD).select("term", "df"), stats).select("term", "df", "idf")
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -49,18 +62,21 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     toks = toks.withColumns({"anchor_terms": F.slice("informative", 1, F.col("anchors"))}).withColumn("anchor_query_terms", F.size("anchor_terms"))
     return toks.select(key, "query_terms", "informative_query_terms", "identifier_query_terms", "anchor_query_terms", "anchor_terms", F.explode("terms").alias("term")).withColumns({
         "is_informative": ~T.is_low_information(F.col("term")), "is_anchor": F.array_contains("anchor_terms", F.col("term")),
+        "is_named": ~T.is_low_information(F.col("term")) & T.is_identifier(F.col("term")),
     }).drop("anchor_terms")
 
 
 def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = 50) -> DataFrame:
     """The ``k`` best records of every query with score, rank and the evidence the gates use; ties by key.
 
-    Document frequencies are needed for the query terms only: they come from the postings that a query touches.
+    Only the postings of the queries' terms are kept, in a table that the scores, their document frequencies and the corpus
+    statistics are all read from. Document frequencies and lengths cover all records.
     """
-    stats = corpus_size(records, key, text)
-    q = query_terms(queries, query_key, query_text)
-    wanted = q.select("term").distinct()
-    postings = term_counts(records, key, text).join(wanted, "term", "left_semi")
+    spark = records.sparkSession
+    q = cut(spark, query_terms(queries, query_key, query_text), "query_terms")
+    counts = cut(spark, term_counts(records, key, text, q.select("term").distinct()), "postings")
+    stats = counts.where(F.col("term") == RECORD).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    postings = counts.where(F.col("term") != RECORD)
     idf = with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats).select("term", "idf", "n", "avgdl")
     hits = postings.join(q, "term").join(idf, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
@@ -70,7 +86,7 @@ def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_ke
         F.count(F.lit(1)).alias("matched_terms"), F.first("query_terms").alias("query_terms"),
         (F.sum("idf") / F.count(F.lit(1)) / F.first(max_idf)).alias("rarity"),
         F.count_if("is_informative").alias("informative_matched_terms"), F.first("informative_query_terms").alias("informative_query_terms"),
-        F.count_if(F.col("is_informative") & T.is_identifier(F.col("term"))).alias("identifier_matched_terms"), F.first("identifier_query_terms").alias("identifier_query_terms"),
+        F.count_if("is_named").alias("identifier_matched_terms"), F.first("identifier_query_terms").alias("identifier_query_terms"),
         F.count_if("is_anchor").alias("anchor_matched_terms"), F.first("anchor_query_terms").alias("anchor_query_terms"),
     )
     scored = scored.withColumns({"score": F.round("raw", 6), "rarity": F.round("rarity", 6), "coverage": F.round(F.col("matched_terms") / F.col("query_terms"), 6), "informative_coverage": F.round(F.when(F.col("informative_query_terms") > 0, F.col("informative_matched_terms") / F.col("informative_query_terms")).otherwise(0.0), 6)}).drop("raw")

@@ -166,8 +166,9 @@ def per_question(spark: SparkSession, d: str) -> DataFrame:
     docs, qs = table(spark, d, "documents"), table(spark, d, "eval_questions")
     sn = qs.select(F.col("id").alias("query_id"), F.explode("evidence.snippet").alias("s")).withColumn("sid", F.xxhash64("query_id", "s"))
     first = sn.select("query_id", "sid", "s", F.element_at(F.filter(T.tokens(F.col("s")), lambda t: F.length(t) > 1), 1).alias("term"))
-    post = docs.select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    targets = post.join(first, "term").where(F.contains("text", "s")).select("query_id", F.col("doc_id").alias("key")).distinct()
+    post = lexical.spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    pairs = post.join(first, "term").select("query_id", "doc_id", "s").distinct()
+    targets = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "s")).select("query_id", F.col("doc_id").alias("key")).distinct()
     hits = lexical.search(docs, "doc_id", "text", S.questions(spark, d), "query_id", "question", 8).select("query_id", F.col("doc_id").alias("key"), "rank")
     wanted = targets.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return evaluate.per_query(evaluate.judged(hits, targets), wanted, 8)
