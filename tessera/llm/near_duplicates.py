@@ -27,9 +27,9 @@ Equal sets are one class: they collapse within each batch before anything is cou
 many records as there are batches. Frequencies are summed before the shuffle, so a hot token costs one entry per batch.
 
 Defined results: null texts and texts under SHINGLE words have no tokens and no partners. Repeated rows of an id are one
-record per distinct set; an id is never paired with itself. Classes of equal sets with at most EXPAND ids are written out
-in full; larger ones as pairs of their smallest id with each member, and linked to other classes by that id. Rows without
-an id are left out. An empty table gives no rows.
+record per distinct set; an id is never paired with itself. Every pair is written out, but for exact copies: of more than
+EXPAND ids with one text, the smallest is paired with each of the others, and it alone is paired with the ids of other texts
+(of an equal set or a similar one). Rows without an id are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,13 +42,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tessera.llm.words import C1, WordHashes, mix, shingle_hashes, words
 from tessera.session import cut, scratch_path
 
 SHINGLE, THRESHOLD = 3, 0.5
 RARE = 6  # tokens in at most so many records are indexed singly
-EXPAND = 32
+EXPAND = 32  # exact copies of one text that are paired in full
+SPREAD = 16  # parts of a large class that are paired in different tasks
 BATCH_DOCS, BATCH_TOKENS = 16384, 1_500_000
 TOKEN_BITS = 44
 TIERS = [(0, 34, 0)] + [(34 * 8**k, 34 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
@@ -117,11 +119,11 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
 def _flush(task: int, number: int, held: list[tuple[int, np.ndarray]]) -> tuple:
     sizes = np.array([len(a) for _, a in held], np.int32)
     u, inverse = np.unique(np.concatenate([a for _, a in held]), return_inverse=True)
-    return (None, None, None, (task << 20) + number, squeeze_sorted(u), squeeze_places(inverse), squeeze(sizes), squeeze(np.array([h for h, _ in held], np.uint64)), int(sizes.sum()))
+    return (None, None, None, None, (task << 20) + number, squeeze_sorted(u), squeeze_places(inverse), squeeze(sizes), squeeze(np.array([h for h, _ in held], np.uint64)), int(sizes.sum()))
 
 
-def sets_of_frame(frame: pd.DataFrame, hashes: WordHashes, seeds: dict[str, np.uint64], shingle: int) -> Iterator[tuple[str, str, int, np.ndarray]]:
-    """(tbl, id, set hash, sorted tokens) of the rows that have tokens; the runs of all rows are hashed and sorted at once."""
+def sets_of_frame(frame: pd.DataFrame, hashes: WordHashes, seeds: dict[str, np.uint64], shingle: int) -> Iterator[tuple[str, str, int, int, np.ndarray]]:
+    """(tbl, id, set hash, text hash, sorted tokens) of the rows that have tokens; the runs of all rows are hashed and sorted at once."""
     own = [hashes(words(t)) for t in frame["text"]]
     sizes = np.array([len(x) for x in own])
     if sizes.sum() < shingle:
@@ -145,9 +147,14 @@ def sets_of_frame(frame: pd.DataFrame, hashes: WordHashes, seeds: dict[str, np.u
         ends = np.append(starts[1:], len(row))
         # the table's seed is in the tokens, so equal texts of two tables are different sets
         h = mix(np.add.reduceat(mix(token), starts) + (ends - starts).astype(np.uint64) * C1)
-    tbls, ids = frame["tbl"].to_numpy(), frame["id"].to_numpy()
+    tbls, ids, texts = frame["tbl"].to_numpy(), frame["id"].to_numpy(), frame["text"].to_numpy()
     for k, s, e in zip(h.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        yield tbls[row[s]], ids[row[s]], k, token[s:e]
+        yield tbls[row[s]], ids[row[s]], k, xxh64_intdigest(texts[row[s]]), token[s:e]
+
+
+def signed(h: int) -> int:
+    """An unsigned 64-bit hash as a long."""
+    return h - (1 << 64) if h >> 63 else h
 
 
 def squeeze_places(places: np.ndarray) -> bytes:
@@ -159,12 +166,12 @@ def stretch_places(data: bytes) -> np.ndarray:
     return np.cumsum(stretch(data, np.uint32), dtype=np.uint32)
 
 
-BATCHES = "tbl string, id string, h long, batch long, tokens binary, places binary, sizes binary, sets binary, total long"
+BATCHES = "tbl string, id string, h long, x long, batch long, tokens binary, places binary, sizes binary, sets binary, total long"
 BATCH_COLUMNS = [c.split()[0] for c in BATCHES.split(", ")]
 
 
 def batches(records: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Memberships (tbl, id, h) and batches, as rows of one table; ``h`` is the hash of the set."""
+    """Memberships (tbl, id, h, x) and batches, as rows of one table; ``h`` is the hash of the set, ``x`` that of the text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, task, number = WordHashes(), TaskContext.get().partitionId(), 0
@@ -172,8 +179,8 @@ def batches(records: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         total, seeds = 0, {}
         for frame in frames:
             members = []
-            for tbl, key, h, own in sets_of_frame(frame, hashes, seeds, shingle):
-                members.append((tbl, key, h - (1 << 64) if h >> 63 else h))
+            for tbl, key, h, x, own in sets_of_frame(frame, hashes, seeds, shingle):
+                members.append((tbl, key, signed(h), signed(x)))
                 if h not in held:
                     held[h] = own
                     total += len(own)
@@ -461,10 +468,10 @@ def bucketed(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
 
 
 def similar_sets(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): tbl, id, h of every record with tokens, and ha < hb, similarity of the linked classes."""
+    """(members, links): tbl, id, h, x of every record with tokens, and ha < hb, similarity of the linked classes."""
     stored = bucketed(spark, batches(records), "batch")
     packed = stored.where("batch IS NOT NULL")
-    members = stored.where("batch IS NULL").select("tbl", "id", "h").distinct()
+    members = stored.where("batch IS NULL").select("tbl", "id", "h", "x").distinct()
     total = packed.agg(F.sum("total")).first()[0] or 0
     ranges = max(6, -(-total // 6_000_000))  # hash ranges of some million tokens each
     joined = packed.select("batch", "tokens", "places", "sizes", "sets").join(frequencies(packed, ranges), F.col("batch") == F.col("b")).drop("b")
@@ -478,20 +485,27 @@ def image_records(blocks: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def found(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """p3_found: tbl, id_a, id_b (see the module's text for classes of more than EXPAND ids)."""
+    """p3_found: tbl, id_a, id_b (see the module's text for more than EXPAND exact copies)."""
     members, links = similar_sets(spark, records)
     members = cut(spark, members, "members")
-    size = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("tbl", "id")).alias("rep"))
-    many = size.where(F.col("size") > 1)
-    sized = members.join(many.select("h", "size", "rep"), "h")
+    size = members.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    sized = members.join(size.where(F.col("size") > 1), "h")
     listed = sized.where(F.col("size") <= EXPAND).groupBy("h").agg(F.first("tbl").alias("tbl"), F.array_sort(F.collect_set("id")).alias("ids"))
     inside = listed.select("tbl", F.explode("ids").alias("id_a"), "ids").select("tbl", "id_a", F.explode("ids").alias("id_b"))
-    star = sized.where(F.col("size") > EXPAND).select("tbl", F.col("rep.id").alias("id_a"), F.col("id").alias("id_b"))
+    # larger classes: copies of one text may be too many to pair, different texts are all paired
+    large = sized.where(F.col("size") > EXPAND)
+    copies = large.groupBy("h", "x").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
+    placed = cut(spark, large.drop("size").join(copies, ["h", "x"]), "large")
+    star = placed.where(F.col("copies") > EXPAND).select("tbl", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    stand = placed.where((F.col("copies") <= EXPAND) | (F.col("id") == F.col("rep"))).select("tbl", "id", "h").distinct()
+    left = stand.select("tbl", "h", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("part"))
+    right = stand.select("h", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    apart = left.join(right, ["h", "part"]).where("id_a < id_b").select("tbl", "id_a", "id_b")
     # only classes that have a link are listed again
     ends = links.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
-    shown = members.join(ends, "h", "left_semi").join(size.select("h", "size", "rep"), "h").where((F.col("size") <= EXPAND) | (F.col("id") == F.col("rep.id"))).select("tbl", "id", "h")
+    shown = members.join(ends, "h", "left_semi").join(size.where(F.col("size") <= EXPAND), "h").select("tbl", "id", "h").unionByName(stand.join(ends, "h", "left_semi").select("tbl", "id", "h"))
     across = links.join(shown.select(F.col("h").alias("ha"), "tbl", F.col("id").alias("id_a")), "ha").join(shown.select(F.col("h").alias("hb"), F.col("id").alias("id_b")), "hb").select("tbl", "id_a", "id_b")
-    pairs = inside.unionByName(star).unionByName(across).where("id_a <> id_b")
+    pairs = inside.unionByName(star).unionByName(apart).unionByName(across).where("id_a <> id_b")
     return pairs.select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
@@ -515,7 +529,7 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 40) ->
 def groups(spark: SparkSession, records: DataFrame) -> DataFrame:
     """tbl, id, group_id (smallest id of the group), links (similar classes, copies not counted), one row per record."""
     members, links = similar_sets(spark, records)
-    links, members = cut(spark, links, "links"), cut(spark, members, "members")
+    links, members = cut(spark, links, "links"), cut(spark, members.drop("x").distinct(), "members")
     degree = links.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     own = members.join(components(spark, links), "h", "left").join(degree, "h", "left").withColumn("component", F.coalesce("component", "h"))
     names = own.groupBy("tbl", "component").agg(F.min("id").alias("group_id"))

@@ -103,6 +103,23 @@ def test_large_classes_of_copies_are_stars(spark):
     assert got == {("blocks", "c000", f"c{i:03}") for i in range(1, n)} | {("blocks", "c000", "near")}
 
 
+def test_different_texts_of_a_large_class_are_all_paired(spark):
+    """Equal sets, different texts: only exact copies may be a star, within the class and in links to others."""
+    n = N.EXPAND + 5
+    rows = [("blocks", f"c{i:03}", "one two three four five six") for i in range(n)]
+    rows += [("blocks", f"d{i}", "One two, three four five six!") for i in range(3)] + [("blocks", "a", "**one** two three\nfour five six"), ("blocks", "c001", "one two three four five SIX")]
+    rows += [("blocks", "near1", "one two three four five seven"), ("blocks", "near2", "one two three, four five seven")]
+    got = {tuple(r) for r in N.found(spark, spark.createDataFrame(rows, "tbl string, id string, text string")).collect()}
+    stand = ["c000", "c001", "a", "d0", "d1", "d2", "near1", "near2"]  # c001 also has a text of its own
+    assert got == {("blocks", "c000", f"c{i:03}") for i in range(1, n)} | {("blocks", *sorted(p)) for p in itertools.combinations(stand, 2)}
+
+
+def test_large_class_of_different_texts_against_brute_force(spark):
+    rows = [("blocks", f"v{i:02}", "one two three four five six" + "!" * i) for i in range(N.EXPAND + 8)] + [("blocks", "near", "one two three four five seven")]
+    got = {tuple(r) for r in N.found(spark, spark.createDataFrame(rows, "tbl string, id string, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_groups(spark):
     rows = [("blocks", "a", "1 2 3 4 5 6 7 8"), ("blocks", "b", "1 2 3 4 5 6 7 9"), ("blocks", "c", "1 2 3 4 5 6 7 9"), ("blocks", "d", "0 0 2 3 4 5 6 7 9"), ("blocks", "e", "other words here"), ("image_descriptions", "a", "1 2 3 4 5 6 7 8")]
     got = {(r["tbl"], r["id"]): (r["group_id"], r["links"]) for r in N.groups(spark, spark.createDataFrame(rows, "tbl string, id string, text string")).collect()}
