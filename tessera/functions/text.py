@@ -104,9 +104,9 @@ def numeric_noise_sql(c: str) -> str:
 
 
 def line_noise(c: Column) -> Column:
-    """Lines that hold no knowledge: tags only, an address only, punctuation only."""
+    """Lines that hold no knowledge: tags only, an address only (Chinese text ends one), no letters and digits."""
     t = F.trim(c)
-    return t.rlike(r"(?U)^(?:#[\w/-]+\s*)+$") | t.rlike(r"^(?:https?://\S+\s*)+$") | t.rlike(r"(?U)^[\W_]*$")
+    return t.rlike(r"(?U)^(?:#[\w/-]+\s*)+$") | t.rlike(rf"(?U)^(?:https?://[^\s{CJK}，。！？；：、]+[.。]?\s*)+$") | t.rlike(r"^[^\p{L}\p{N}]*$")
 
 
 def catalog_text(c: Column) -> Column:

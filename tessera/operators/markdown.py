@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 MAX_CHARS, MIN_CHARS = 2000, 120
 SILENT = {"script", "style", "template", "noscript"}
 BLOCK_TAGS = {"p", "div", "section", "article", "ul", "ol", "li", "table", "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr"}
@@ -296,3 +298,10 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ht
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return src.mapInPandas(run, f"{key} {src.schema['k'].dataType.simpleString()}, {CHUNKS}")
+
+
+def line_noise(documents: DataFrame, kept: Column | None = None) -> DataFrame:
+    """noise and lines: how many lines of the texts hold knowledge and how many none (of those ``kept``, or of all)."""
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line"))
+    lines = lines if kept is None else lines.where(kept)
+    return lines.groupBy(T.line_noise(F.col("line")).alias("noise")).agg(F.count(F.lit(1)).alias("lines"))

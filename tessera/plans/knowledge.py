@@ -67,9 +67,15 @@ def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
 @query("line_noise", r"""WITH l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
     SELECT regexp_full_match(line, '(?:#[\w/-]+\s*)+') OR regexp_full_match(line, '(?:https?://\S+\s*)+') OR regexp_full_match(line, '[^\p{L}\p{N}\p{M}]*') AS noise, count(*) AS lines FROM l WHERE regexp_full_match(line, '[\x20-\x7E]*') GROUP BY 1""")
 def line_noise(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII lines that hold no knowledge (tags, addresses, punctuation) and the others."""
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line")).where(F.col("line").rlike(r"^[\x20-\x7E]*$"))
-    return lines.groupBy(T.line_noise(F.col("line")).alias("noise")).agg(F.count(F.lit(1)).alias("lines"))
+    """ASCII lines that hold no knowledge (tags, addresses, punctuation) and the others, as its SQL has them; all lines are
+    counted by line_noise_all."""
+    return markdown.line_noise(table(spark, d, "documents"), F.col("line").rlike(r"^[\x20-\x7E]*$"))
+
+
+@query("line_noise_all")
+def line_noise_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every line, of whatever script (DuckDB's classes differ: no SQL; tested against brute force)."""
+    return markdown.line_noise(table(spark, d, "documents"))
 
 
 @query("embedding_text", "SELECT block_id, md5(array_to_string(list_filter([CASE WHEN coalesce(s, '') <> '' THEN '文档：' || s END, CASE WHEN coalesce(heading_path, '') <> '' THEN '标题：' || heading_path END, CASE WHEN coalesce(text, '') <> '' THEN '内容：' || text END], lambda x: x IS NOT NULL), chr(10))) AS h FROM (SELECT *, regexp_replace(regexp_extract(source_file, '([^/]*)$', 1), '\\.[^.]*$', '') AS s FROM blocks)".replace("\\\\", "\\"))

@@ -1,7 +1,15 @@
+import os
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.functions import text as T
+from tessera.operators import markdown
+
+DIR = "/root/testdata/sf0.001"
 
 
 def one(spark, column, *values):
@@ -31,6 +39,27 @@ def test_line_noise(spark):
     assert one(spark, T.line_noise, "#a #b/c", "https://x.example/a", "---", "text é", "") == [True, True, True, False, True]
 
 
+def noise(line):
+    tag, url = r"(?:#[\w/-]+\s*)+", r"(?:https?://[^\s一-鿿，。！？；：、]+[.。]?\s*)+"
+    return any(re.fullmatch(p, line.strip(" ")) for p in (tag, url, r"[\W_]*"))
+
+
+def test_line_noise_of_every_script_against_brute_force(spark):
+    texts = ["#标签 #c端\n这是正文\n#标签 正文\n。。。！？\n", "café\n—…—\n❤️ 👩‍💻\n①②\n½\nStraße", "https://x.example/文\nhttps://x.example/a，详见说明\nhttps://x.example/a。\n　", "plain\n#a #b/c\n---\nhttps://x.example/a https://y.example", None, ""]
+    lines = [x for t in texts if t is not None for x in t.split("\n")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [noise(x) for x in lines] == one(spark, T.line_noise, *lines)
+    assert {r["noise"]: r["lines"] for r in markdown.line_noise(df).collect()} == dict(Counter(map(noise, lines)))
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_line_noise_of_the_documents_against_brute_force(spark):
+    texts = [r[0] for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect() if r[0] is not None]
+    got = {r["noise"]: r["lines"] for r in entry.queries()["line_noise_all"](spark, DIR).collect()}
+    assert got == dict(Counter(noise(x) for t in texts for x in t.split("\n")))
+    assert sum(got.values()) > sum(r["lines"] for r in entry.queries()["line_noise"](spark, DIR).collect())
+
+
 def test_urls(spark):
     got = one(spark, T.web_url, "HTTPS://Ex.COM//a//b/?utm_source=x&q=1&ref=2#f", "http://a.example:8080", "no url", "http://a.example/?b")
     assert got == ["https://ex.com/a/b?q=1", "http://a.example:8080/", "no url", "http://a.example/?b="]
