@@ -12,8 +12,9 @@ The test side is a stated query set. It is held in blocks of at most ``BLOCK_BYT
 indexed and broadcast (its size is bounded by that parameter), and the corpus is read once per block. One block holds
 some hundred thousand questions.
 
-Defined results: null and empty texts have no words and no hits. Passages under ``MIN_RUN`` words cannot reach the
-required overlap and give nothing. Items with null id are left out; repeated items and repeated documents count once. Of
+Defined results: null and empty texts have no words and no hits. For ``found``, passages under ``MIN_RUN`` words cannot
+reach the required overlap and give nothing; for ``leaks`` a passage shorter than the required overlap counts if it stands
+in the document as a whole (under the shortest mask it is hashed as a whole too). Items with null id are left out; repeated items and repeated documents count once. Of
 equal overlaps the first passage counts. Empty tables give an empty result.
 """
 
@@ -77,8 +78,9 @@ class PassageIndex:
                 self.items.append(item)
                 self.words.append(h)
         self.tables = []
-        for mask in MASKS:
-            own = [seed_hashes(h, mask) for h in self.words]
+        short = {len(h) for h in self.words if len(h) < min(map(len, MASKS))}
+        for mask in (*MASKS, *("1" * n for n in sorted(short))):  # passages that no mask fits into have one of their own length
+            own = [seed_hashes(h, mask) if mask in MASKS or len(h) == len(mask) else np.empty(0, np.uint64) for h in self.words]
             keys = np.concatenate(own) if own else np.empty(0, np.uint64)
             which = np.repeat(np.arange(len(own)), [len(x) for x in own])
             at = np.concatenate([np.arange(len(x)) for x in own]) if own else np.empty(0, int)
@@ -128,32 +130,37 @@ def passages_of(items: DataFrame) -> DataFrame:
     return items.where("id IS NOT NULL").select(F.col("id").alias("item_id"), F.explode(F.concat(F.array("question"), snippets)).alias("passage")).where("passage IS NOT NULL").distinct()
 
 
-def _scan(docs: DataFrame, index, key_type: str) -> DataFrame:
+def _scan(docs: DataFrame, index, key_type: str, least: int | None) -> DataFrame:
+    """The best overlap of each document and item; with ``least`` the longest ones of each document and passage that has at
+    least so many equal words, or all of its own, in the document."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, table = WordHashes(), index.value
         for frame in frames:
             texts = [hashes(plain_words(t)) for t in frame["t"]]
             ends = np.cumsum([len(x) for x in texts])
             whole = np.concatenate(texts) if texts else np.empty(0, np.uint64)
-            rows: dict[tuple[int, str], tuple[int, int, int]] = {}
+            rows: dict[tuple[int, str | int], tuple[int, int, int]] = {}
             for p, at in table.diagonals(whole):
                 passage = table.words[p]
                 first = int(np.searchsorted(ends, max(at, 0), "right"))
                 while first < len(ends) and (ends[first - 1] if first else 0) < at + len(passage):
                     got = compare(whole, int(ends[first - 1]) if first else 0, int(ends[first]), passage, int(at))
-                    k = (first, table.items[p])
-                    if got[0] and got > rows.get(k, (0, 0, 0)):
-                        rows[k] = got
+                    k = (first, table.items[p] if least is None else int(p))
+                    if least is None:
+                        if got[0] and got > rows.get(k, (0, 0, 0)):
+                            rows[k] = got
+                    elif got[1] - got[2] >= min(least, len(passage)):
+                        rows[k] = tuple(map(max, got, rows.get(k, got)))
                     first += 1
             keys = frame["k"].tolist()
-            yield pd.DataFrame([(keys[d], item, *v) for (d, item), v in rows.items()], columns=["doc_id", "item_id", "run", "words", "replaced"])
+            yield pd.DataFrame([(keys[d], k if least is None else table.items[k], *v) for (d, k), v in rows.items()], columns=["doc_id", "item_id", "run", "words", "replaced"])
 
     return docs.mapInPandas(run, f"doc_id {key_type}, item_id string, run int, words int, replaced int")
 
 
-def overlaps(spark: SparkSession, documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, run (longest run of equal words), words and replaced (tolerant overlap), for every document and
-    item with a hit. Documents are read once per block of passages; nothing is shuffled but the hits."""
+def hits(spark: SparkSession, documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES, least: int | None = None) -> DataFrame:
+    """The rows of ``_scan`` over all blocks of passages. Documents are read once per block; nothing is shuffled."""
     passages = passages_of(items)
     size = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -161,9 +168,16 @@ def overlaps(spark: SparkSession, documents: DataFrame, items: DataFrame, block_
     out = None
     for n in range(blocks):
         own = passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == n).orderBy("item_id", "passage").collect()
-        found = _scan(docs, spark.sparkContext.broadcast(PassageIndex([tuple(r) for r in own])), documents.schema["doc_id"].dataType.simpleString())
+        index = PassageIndex([tuple(r) for r in own], MIN_RUN if least is None else 1)
+        found = _scan(docs, spark.sparkContext.broadcast(index), documents.schema["doc_id"].dataType.simpleString(), least)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("run", "words", "replaced")).alias("r")).select("doc_id", "item_id", "r.*")
+    return out
+
+
+def overlaps(spark: SparkSession, documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, run (longest run of equal words), words and replaced (tolerant overlap), for every document and
+    item with a hit. Nothing is shuffled but the hits."""
+    return hits(spark, documents, items, block_bytes).groupBy("doc_id", "item_id").agg(F.max(F.struct("run", "words", "replaced")).alias("r")).select("doc_id", "item_id", "r.*")
 
 
 def found(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -172,6 +186,7 @@ def found(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFr
 
 
 def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
-    """Every document with the items that leaked into it wholly or in part, words replaced in between allowed."""
-    hit = overlaps(spark, documents, items).where((F.col("words") >= least) & (F.col("words") - F.col("replaced") >= least))
+    """Every document with the items that leaked into it wholly or in part (``least`` equal words, or all of a shorter
+    passage), words replaced in between allowed."""
+    hit = hits(spark, documents, items, least=least)
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("words").alias("longest"), F.max("run").alias("longest_run"))

@@ -53,6 +53,29 @@ def test_replaced_words_are_tolerated(spark):
     assert L.found(spark, d, q).count() == 0 and L.leaks(spark, d, q).collect()[0]["item_ids"] == ["Q"]
 
 
+def test_short_passages_leak_as_a_whole(spark):
+    """Passages of every length under MIN_RUN, beside a longer one of the same item that only nearly leaks."""
+    sizes = (1, 3, 7, 8, 11, 12, 14)
+    short = {n: [f"s{n}x{i}" for i in range(n)] for n in sizes}
+    long = [f"l{i}" for i in range(40)]
+    docs = [(n, " ".join(["start", *w, "mid", *long[:11], "end"])) for n, w in short.items()]
+    docs += [(100 + n, " ".join(["start", *w[:-1], "end"])) for n, w in short.items() if n <= 12] + [(200, "s3x0 s3x1"), (201, "s3x2 end")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(f"Q{n:02}", " ".join(w), [("d", " ".join(long))], "x") for n, w in short.items()], ITEMS)
+    got = {(r["doc_id"], tuple(r["item_ids"]), r["longest"]) for r in L.leaks(spark, d, q).collect()}
+    assert got == {(n, (f"Q{n:02}",), n) for n in sizes}
+    assert L.found(spark, d, q).count() == 0
+
+
+def test_a_longer_run_elsewhere_does_not_hide_a_leak(spark):
+    p, o = [f"u{i}" for i in range(30)], [f"o{i}" for i in range(30)]
+    t = p.copy()
+    t[9], t[20] = "other", "else"
+    d = spark.createDataFrame([(1, " ".join(["start", *t, "mid", *o[:11], "end"]))], "doc_id long, text string")
+    r = L.leaks(spark, d, spark.createDataFrame([("Q", " ".join(p), [("d", " ".join(o))], "x")], ITEMS)).collect()
+    assert [(x["item_ids"], x["longest"], x["longest_run"]) for x in r] == [(["Q"], 30, 10)]
+
+
 def test_markup_between_words(spark):
     p = " ".join(f"v{i}" for i in range(16))
     text = p.replace(" v5 ", " <b>v5</b> ").replace(" v8 ", " [v8](http://x.example/y) ").replace(" v11 ", "&nbsp;v11\n\n> ")
