@@ -32,7 +32,9 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 LONGEST, TRAINING, EPOCHS, SEED = 160, 5000, 8, 11
 
 #: Family names that a Chinese personal name starts with (fixed values).
-SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤祁桑景沐纪简温庄柯翟安柳俞章梅盛童颜聂詹岳齐邢路关焦鲁左涂耿阮季管卜裴苗凌喻牛葛伍申屠尤倪戚柏鲍骆霍柴洪包甘"
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤祁桑景沐纪简温庄柯翟安柳俞章梅盛童颜聂詹岳齐邢路关焦鲁左涂耿阮季管卜裴苗凌喻牛葛伍申屠尤倪戚柏鲍骆霍柴洪包甘傅常施尚赖殷文樊曲兰翁康易乔庞代谷邬闵巫车穆麦房封符蓝佟卓荆褚娄宁滕解应冼牟边燕米屈池党宫胥华丛栾苟隋连仇单敖游瞿鞠邸晏匡从臧冉商卞巩门席廉姬戈谌艾成雍饶窦甄盖蒲郎岑薄靳晁麻费尉满欧刁寇郁项祝储竺缪浦狄皮时宗乐花楚沙阚那辛茅仲伊宣郗隗冀尧农晋步隆师权桓丰巢蒯强揭沃蔚幸司阳占濮查阙訾苑阎肇逄亓鄢鲜洛"
+#: Family names of two characters (fixed values).
+COMPOUND = "欧阳 司马 诸葛 上官 司徒 东方 独孤 南宫 万俟 闻人 夏侯 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 鲜于 司空 闾丘 令狐 端木 轩辕 呼延 东郭 南门 百里 西门 拓跋 第五 公西 左丘 梁丘 谷梁 羊舌 微生 乐正 漆雕 巫马 壤驷 公良 夹谷 段干 叶赫 纳兰 爱新".split()
 #: Words that make an address (fixed values).
 STREET = "Street|St|Road|Rd|Lane|Ln|Close|Avenue|Ave|Terrace|Drive|Dr|Way|Court|Ct|Place|Pl|Square|Sq|Crescent|Boulevard|Blvd|Row|Gardens|Grove|Hill|Mews|Walk|Parade|Highway|Alley"
 UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|Floor|Bldg)\s?#?\w{1,5}"
@@ -61,7 +63,8 @@ SHAPES = [
     ("person", "initial", re.compile(rf"(?<![\w.-]){CAP} [A-Z]\.(?![\w])")),
     ("person", "turned", re.compile(rf"(?<![\w.-]){CAP}, {CAP}(?![\w-])")),
     ("person", "capitals", re.compile(r"(?<![\w.-])[A-Z]{3,} [A-Z]{3,}(?![\w-])")),
-    ("person", "han3", re.compile(rf"(?=([{SURNAMES}][{H}]{{2}}))")),
+    ("person", "han4", re.compile(rf"(?=((?:{'|'.join(COMPOUND)}|[{SURNAMES}][{H}])[{H}]{{2}}))")),
+    ("person", "han3", re.compile(rf"(?=((?:{'|'.join(COMPOUND)}|[{SURNAMES}][{H}])[{H}]))")),
     ("person", "han2", re.compile(rf"(?=([{SURNAMES}][{H}]))")),
 ]
 BEFORE = re.compile(rf"([A-Za-z]+|[{H}]{{1,2}}|\d+|[^\w\s])\s*$")
@@ -258,7 +261,9 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
             street = f"{r.randint(1, 499)} {name()}{pick(['', ' ' + name(), ' Bank'])} {pick(['Street', 'St.', 'St', 'Road', 'Rd', 'Lane', 'Close', 'Avenue', 'Ave', 'Terrace'])}"
             return pick([street, f"Flat {r.randint(1, 40)}, {street}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}", f"{street}, {name()}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}, {place()} 00{d(3)}", f"{street}, {place()}"])
         if r.random() < 0.35:
-            return pick("祁桑景沐纪陆简王李张刘陈杨赵周吴") + han(pick([1, 2, 2, 2]))
+            if r.random() < 0.15:  # a family name of two characters, or two family names
+                return pick([pick(COMPOUND) + han(pick([1, 2])), pick(SURNAMES) + pick(SURNAMES) + han(2)])
+            return pick(pick(["祁桑景沐纪陆简王李张刘陈杨赵周吴", SURNAMES])) + han(pick([1, 2, 2, 2]))
         return pick([f"{name()} {name()}"] * 4 + [f"{pick(['Dr.', 'Prof.', 'Mr', 'Ms', 'Mrs', 'Dr'])} {name()}", f"{name()}, {name()}", f"{name()} {pick('ABCDEFGHJKLMNPRSTVW')}."])
 
     cues = {
@@ -278,6 +283,8 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
     common = "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心前开但因只从想实日军者意无力它与长把机十民第公此已工使情明性知全三又关点正业外将两高间由问很最重并物手应战向头文体政美相见被利什二等产新己制身果加西斯月话合回特代内信表化老给世位次度门任常先海通教儿原东声提立及比员解水名真论处走义各入几口认条平系气题活尔更别打女变四神总何电数安少报才结反受目太量再感建务做接必场件计管期市直德资命山金指克许统区保至队形社便空决治展马科司五基眼书非则听白却界达光放强即像难且权思王象完设式色路记南品住告类求据程北边死张该交规万取拉格望觉术领共确传师观清今切院让识候带导争运笔余球鞋关窗户列表摘要标签模板原文"
     plain = lambda n: "".join(pick(common) for _ in range(n))
     decoys += [lambda: plain(r.randint(1, 6)) + pick(SURNAMES) + plain(r.randint(1, 6)), lambda: f"{pick(['不过', '随后', '因此', '爷爷', '妈妈'])}{plain(2)}{pick(['多余', '关', '白', '高', '常', '空白', '上'])}{plain(2)}{pick(['', '，', '！'])}", lambda: f"{plain(r.randint(2, 8))}{coined()}{plain(r.randint(2, 8))}", lambda: f"{pick(SURNAMES)}{plain(r.randint(2, 9))}"] * 2
+    nouns = "代码片段 代码高亮 文件名称 文档目录 时间排序 常用标签 封面图片 符号列表 连接状态 应用设置 项目说明 解析结果 储存空间 查询结果 关键词表 路径前缀 万能模板 高级选项 白色背景 连续段落".split()  # begin like names
+    decoys += [lambda: f"{pick(['', '备份时，', '导出后，', '昨天'])}{pick(nouns)}{pick(['负责', '负责拆分', '合并了', '常常忽略', '不再', '说明'])}{pick(['这个仓库', '旧表头', plain(3)])}"] * 2
     out = []
     for _ in range(count):
         text, spans = "", []

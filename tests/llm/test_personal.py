@@ -36,6 +36,14 @@ def test_cases(model, text, kinds):
     assert {k for *_, k in model.decode(text)} == kinds
 
 
+@pytest.mark.parametrize("name", ["傅明远", "常春梅", "施文博", "赖建国", "殷秋", "樊若笙", "欧阳明远", "司马清", "诸葛云舒", "上官婉", "张王丽华"])
+def test_chinese_names_of_every_family_name(model, name):
+    """A name is a candidate as a whole, and found as one after a cue."""
+    text = f"记录人是{name}。"
+    assert (4, 4 + len(name), "person") in {c[:3] for c in P.candidates(text)}
+    assert model.decode(text) == [(4, 4 + len(name), "person")]
+
+
 def test_spans_are_disjoint_and_redaction_keeps_the_rest(model):
     for text, _ in P.made_up(100, seed=5):
         spans = model.decode(text)
