@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import lexical
+from tessera.functions.embed import embedding
+from tessera.operators import dense, lexical
 
 RRF_K, DENSE_WINDOW, LEXICAL_WINDOW = 60, 400, 50
 RESCUE_RANK, MIN_RARITY, MIN_COVERAGE, LONG_COVERAGE, LONG_TERMS, ESCAPE = 15, 0.20, 0.25, 0.30, 8, 6
@@ -71,14 +72,24 @@ def _dense_route(mapped: DataFrame) -> DataFrame:
     return top.groupBy(F.col("canonical_id").alias("block_id")).agg(F.min("rank").alias("dense_rank"), F.max("similarity").alias("dense_similarity"))
 
 
-def fuse(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, block_id with the ranks and scores of both routes, rrf_score and rrf_rank; missing evidence stays null."""
+def search_route(spark: SparkSession, blocks: DataFrame, queries: DataFrame, mapped: DataFrame) -> DataFrame:
+    """query_id, block_id (canonical), dense_rank, dense_similarity of each query's own DENSE_WINDOW nearest blocks; questions
+    and blocks are embedded and searched exactly."""
+    rows = blocks.where("block_id IS NOT NULL").groupBy("block_id").agg(F.min("text").alias("text")).select("block_id", embedding("text").alias("v"))
+    hits = dense.top_k(spark, rows, "block_id", "v", queries.select("query_id", embedding("question").alias("v")), "query_id", "v", DENSE_WINDOW)
+    hits = hits.join(mapped.groupBy("block_id").agg(F.first("canonical_id").alias("canonical_id")), "block_id")
+    return hits.groupBy("query_id", F.col("canonical_id").alias("block_id")).agg(F.min("rank").alias("dense_rank"), F.max("similarity").alias("dense_similarity"))
+
+
+def fuse(blocks: DataFrame, queries: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """query_id, block_id with the ranks and scores of both routes, rrf_score and rrf_rank; missing evidence stays null. The
+    dense route is the stored similarity, the same for every query; with ``spark`` it is a search for each query."""
     mapped = canonical(blocks)
     ids = mapped.select(F.col("canonical_id").alias("block_id")).distinct()
     texts = blocks.groupBy("block_id").agg(F.first("text", ignorenulls=True).alias("text"))
     lex = lexical.search(texts.join(ids, "block_id", "left_semi"), "block_id", "text", queries, "query_id", "question", LEXICAL_WINDOW)
     lex = lex.withColumnsRenamed({"rank": "lexical_rank", "score": "bm25_score"})
-    den = queries.select("query_id").join(F.broadcast(_dense_route(mapped)))  # at most DENSE_WINDOW rows for each query
+    den = search_route(spark, blocks, queries, mapped) if spark else queries.select("query_id").join(F.broadcast(_dense_route(mapped)))  # at most DENSE_WINDOW rows for each query
     both = den.join(lex, ["query_id", "block_id"], "full_outer")
     score = F.coalesce(1 / (RRF_K + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("lexical_rank")), F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "block_id")

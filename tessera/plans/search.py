@@ -132,6 +132,12 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(table(spark, d, "blocks"), questions(spark, d)).select("query_id", "block_id", "dense_rank", "dense_similarity", "lexical_rank", "bm25_score", "rrf_score", "rrf_rank")
 
 
+@query("rrf_fuse_search")
+def rrf_fuse_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a dense search for every question, over embedded blocks (an embedder: no SQL; tested against numpy)."""
+    return fusion.fuse(table(spark, d, "blocks"), questions(spark, d), spark).select("query_id", "block_id", "dense_rank", "dense_similarity", "lexical_rank", "bm25_score", "rrf_score", "rrf_rank")
+
+
 GATED = f"""{FUSED},
 g0 AS (SELECT *, cb.text, {T.numeric_noise_sql('cb.text')} AS noise, coalesce(lexical_rank <= 15 AND rarity >= 0.2 AND CASE
          WHEN identifier_query_terms > 0 AND identifier_matched_terms = 0 THEN false
@@ -173,7 +179,7 @@ def lexical_fallback(spark: SparkSession, d: str) -> DataFrame:
 def select_context(spark: SparkSession, d: str) -> DataFrame:
     """The final rows of every question under the quotas (order-dependent: no SQL)."""
     b = table(spark, d, "blocks")
-    return fusion.select_context(fusion.gate(fusion.fuse(b, questions(spark, d)), b), b)
+    return fusion.select_context(fusion.gate(fusion.fuse(b, questions(spark, d), spark), b), b)
 
 
 @query("where_filter", "SELECT block_id, source_type, document_order FROM blocks WHERE source_type = 'document' AND (chunk_type IN ('text', 'table') OR match_type = 'hybrid')")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.embed import embed
 from tessera.functions.vectors import cosine
 from tessera.operators import catalog, dense, evidence, fusion, lexical, store, sync
 
@@ -71,6 +72,21 @@ def test_selection_respects_quotas_and_order(spark):
     assert {x[2] for x in got[3:]} == {"diversity_backfill"}
 
 
+def test_fusion_searches_for_each_question(spark):
+    texts = {"b1": "alpha beta gamma", "b2": "delta epsilon", "b3": "alpha delta", "b4": "alpha beta gamma", "b5": None}
+    b = spark.createDataFrame([(k, t, "text", "h", f"{k}.md", 0.5) for k, t in texts.items()], "block_id string, text string, chunk_type string, heading_path string, source_file string, similarity double")
+    questions = {"q1": "alpha beta", "q2": "epsilon", "q3": ""}
+    q = spark.createDataFrame(list(questions.items()), "query_id string, question string")
+    got = {(r["query_id"], r["block_id"]): (r["dense_rank"], r["dense_similarity"]) for r in fusion.fuse(b, q, spark).collect()}
+    want = {}
+    for i, question in questions.items():
+        v = embed(question)
+        hits = sorted((-round(float(v @ embed(t)), 6), k) for k, t in texts.items() if t and v.any())
+        for rank, (sim, k) in enumerate(hits, 1):
+            want.setdefault((i, "b1" if k == "b4" else k), (rank, -sim))
+    assert got == want and got["q1", "b1"] != got["q2", "b1"]
+
+
 def test_sync_actions(spark):
     cols = "path string, content_hash string, mtime double, size long"
     before = spark.createDataFrame([("same", "1", 1.0, 1), ("touched", "2", 1.0, 1), ("edited", "3", 1.0, 1), ("gone", "4", 1.0, 1)], cols)
