@@ -231,6 +231,13 @@ def read_around(spark: SparkSession, d: str) -> DataFrame:
     return C.read_around(table(spark, d, "history_messages"), F.expr("sequence % 10 = 5"), 2, 1)
 
 
+@query("read_around_all", """WITH m AS (SELECT DISTINCT conversation_id, message_id, sequence FROM history_messages WHERE sequence IS NOT NULL AND message_id IS NOT NULL AND conversation_id IS NOT NULL)
+    SELECT DISTINCT a.message_id AS center, b.message_id, b.sequence - a.sequence AS "offset" FROM m a JOIN m b ON a.conversation_id = b.conversation_id AND b.sequence BETWEEN a.sequence - 2 AND a.sequence + 1""")
+def read_around_all(spark: SparkSession, d: str) -> DataFrame:
+    """Two messages before and one after every numbered message."""
+    return C.read_around(table(spark, d, "history_messages"), F.lit(True), 2, 1)
+
+
 @query("orphan_memories", "SELECT id, source_conversation_id FROM memories m WHERE coalesce(source_conversation_id, '') <> '' AND NOT EXISTS (SELECT 1 FROM history_messages h WHERE h.conversation_id = m.source_conversation_id)")
 def orphan_memories(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "memories").where("coalesce(source_conversation_id, '') <> ''").select("id", "source_conversation_id")

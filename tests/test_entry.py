@@ -32,3 +32,9 @@ def test_the_core_does_not_import_the_optional_subpackage():
     for path in glob.glob(f"{root}/tessera/**/*.py", recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
             assert "tessera.llm" not in open(path, encoding="utf-8").read(), path
+
+
+def test_read_around_takes_every_numbered_message_as_a_centre(spark):
+    m = spark.read.parquet(f"{DIR}/history_messages.parquet").where("sequence IS NOT NULL AND message_id IS NOT NULL AND conversation_id IS NOT NULL")
+    got = {r[0] for r in entry.queries()["read_around_all"](spark, DIR).select("center").distinct().collect()}
+    assert got == {r[0] for r in m.select("message_id").distinct().collect()}
