@@ -66,6 +66,23 @@ def history_search(messages: DataFrame, queries: DataFrame) -> DataFrame:
     return postings.join(terms, "term").groupBy("query_id", "message_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("conversation_id").alias("conversation_id")).where("k = n").select("query_id", "message_id", "conversation_id")
 
 
+#: The spellings of a speaker's role (fixed values).
+SPEAKERS = {"user": ["user", "human", "用户"], "assistant": ["assistant", "ai", "助手"]}
+
+
+def speaker(role: Column) -> Column:
+    """user or assistant, in whatever spelling; null for all other roles."""
+    own = F.lower(F.trim(role))
+    return F.when(own.isin(SPEAKERS["user"]), "user").when(own.isin(SPEAKERS["assistant"]), "assistant")
+
+
+def conversations_with(messages: DataFrame, terms: list[str]) -> DataFrame:
+    """conversation_id of the conversations whose messages hold all terms somewhere."""
+    has = [F.coalesce(F.bool_or(F.contains(F.lower("content"), F.lit(t))), F.lit(False)).alias(f"has{n}") for n, t in enumerate(terms)]
+    found = messages.groupBy("conversation_id").agg(*has)
+    return found.where(" AND ".join(f"has{n}" for n in range(len(terms)))).select("conversation_id")
+
+
 def read_around(messages: DataFrame, centers: Column, before: int, after: int) -> DataFrame:
     """center, message_id, offset. The range condition becomes an equality: each center asks for its few sequence numbers."""
     m = messages.where("sequence IS NOT NULL AND message_id IS NOT NULL AND conversation_id IS NOT NULL").select("conversation_id", "message_id", "sequence").distinct()

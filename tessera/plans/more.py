@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import queries as Q
 from tessera.functions import text as T
-from tessera.operators import graph
+from tessera.operators import catalog, graph
 from tessera.plans.catalog import query
 from tessera.tables import table
 
@@ -28,8 +28,14 @@ def distinct_queries(spark: SparkSession, d: str) -> DataFrame:
 def conversation_search(spark: SparkSession, d: str) -> DataFrame:
     """Conversations whose messages hold all terms somewhere. Flags are aggregated, the texts are not joined."""
     m = table(spark, d, "history_messages").where("lower(trim(role)) IN ('user', 'assistant')")
-    has = lambda t: F.coalesce(F.bool_or(F.contains(F.lower("content"), F.lit(t))), F.lit(False))
-    return m.groupBy("conversation_id").agg(has("glossary").alias("a"), has("budget").alias("b")).where("a AND b").select("conversation_id")
+    return catalog.conversations_with(m, ["glossary", "budget"])
+
+
+@query("conversation_search_all", "WITH c AS (SELECT conversation_id, lower(string_agg(DISTINCT content, chr(10))) AS t FROM history_messages WHERE lower(trim(role)) IN ('user', 'human', '用户', 'assistant', 'ai', '助手') GROUP BY conversation_id) SELECT conversation_id FROM c WHERE contains(t, 'glossary') AND contains(t, 'budget')")
+def conversation_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the messages of user and assistant in every spelling of their roles."""
+    m = table(spark, d, "history_messages").where(catalog.speaker(F.col("role")).isNotNull())
+    return catalog.conversations_with(m, ["glossary", "budget"])
 
 
 @query("conversation_page", "SELECT DISTINCT message_id, sequence FROM history_messages WHERE conversation_id = (SELECT min(conversation_id) FROM history_messages) AND sequence > 2 ORDER BY sequence, message_id LIMIT 10")

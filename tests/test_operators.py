@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.functions.embed import embed
 from tessera.functions.vectors import cosine
 from tessera.operators import catalog, dense, evidence, fusion, lexical, store, sync
@@ -87,6 +88,14 @@ def test_fusion_searches_for_each_question(spark):
     assert got == want and got["q1", "b1"] != got["q2", "b1"]
 
 
+def test_conversation_search_takes_every_spelling_of_a_role(spark, tmp_path):
+    roles = ["AI", "ai", "Human", " human", "用户", "助手", "user", "Assistant ", "tool", "?", None]
+    rows = [(f"c{n}", r, "the glossary and the Budget") for n, r in enumerate(roles)] + [("d", "用户", "glossary"), ("d", "AI", "budget"), ("e", "AI", "budget")]
+    spark.createDataFrame(rows, "conversation_id string, role string, content string").write.parquet(f"{tmp_path}/history_messages.parquet")
+    got = {r[0] for r in entry.queries()["conversation_search_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{n}" for n in range(8)} | {"d"}
+
+
 def test_sync_actions(spark):
     cols = "path string, content_hash string, mtime double, size long"
     before = spark.createDataFrame([("same", "1", 1.0, 1), ("touched", "2", 1.0, 1), ("edited", "3", 1.0, 1), ("gone", "4", 1.0, 1)], cols)
