@@ -1,3 +1,4 @@
+import inspect
 import json
 
 import pytest
@@ -68,6 +69,16 @@ def test_layers_with_a_cycle(spark):
     assert graph.layers(spark, n.limit(0), e).count() == 0
 
 
+def test_layers_deeper_than_a_bound(spark):
+    n = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    e = spark.createDataFrame([(i, i - 1) for i in range(1, 5)], "id long, needs long")
+    with pytest.raises(RuntimeError):
+        graph.layers(spark, n, e, 4)
+    for most in (5, None):
+        assert {r["id"]: r["layer"] for r in graph.layers(spark, n, e, most).collect()} == {i: i for i in range(5)}
+    assert inspect.signature(graph.layers).parameters["most"].default is None  # no bound of its own
+
+
 def test_numbers_across_micro_batches(spark, tmp_path):
     rows = [(i, i % 3, f"2024-01-01 00:{i:02}:00") for i in range(30)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts AS timestamp) AS ts")
