@@ -19,12 +19,16 @@ below, so every pair meets in the tier of its smaller record.
 Candidates are bounded above without their sets (Hamming distance of parity bitmaps), and the rest is verified exactly.
 
 Execution. Records are packed into batches (numpy arrays in binary columns), so that tokens move as a few bytes each:
-  1 tokenise once; write batches and memberships to the shared folder
+  1 tokenise once; write batches and memberships to the shared folder; of the batches that hold a set, the first keeps it
   2 document frequency: distinct tokens per batch with counts, summed by hash range, answered as one byte per token
   3 signatures per batch, regrouped by hash range; candidates that pass the bitmap bound
-  4 verify: the token sets of candidate records only (a Bloom filter of fixed size drops the others before the shuffle)
-Equal sets are one class: they collapse within each batch before anything is counted, so a hot group of copies weighs as
-many records as there are batches. Frequencies are summed before the shuffle, so a hot token costs one entry per batch.
+  4 verify: the token sets of candidate records only (each batch is told which of its records are asked for)
+Equal sets are one class: they collapse within each batch, then over all batches (16 bytes a set are shuffled), before anything
+is counted, so a hot group of copies weighs as one record. Frequencies are summed before the shuffle, so a hot token costs
+one entry per batch.
+Within a signature only pairs that may count are enumerated: an inner record with the inner ones of its size and with the
+records up to twice as large. A signature whose tokens are in more than HOT records is divided into blocks: an inner record
+*owns* its pairs in one block and visits the others, so the work of a signature is spread over blocks of bounded size.
 
 Defined results: null texts and texts under SHINGLE words have no tokens and no partners. Repeated rows of an id are one
 record per distinct set; an id is never paired with itself. Every pair is written out, but for exact copies: of more than
@@ -51,11 +55,12 @@ SHINGLE, THRESHOLD = 3, 0.5
 RARE = 6  # tokens in at most so many records are indexed singly
 EXPAND = 32  # exact copies of one text that are paired in full
 SPREAD = 16  # parts of a large class that are paired in different tasks
+HOT = 8192  # records of a signature that are paired in one block
+RANGE_TOKENS = 6_000_000  # tokens of a hash range
 BATCH_DOCS, BATCH_TOKENS = 16384, 1_500_000
 TOKEN_BITS = 44
 TIERS = [(0, 34, 0)] + [(34 * 8**k, 34 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
 TIERS[-1] = (TIERS[-1][0], 1 << 60, TIERS[-1][2])
-BLOOM_BITS = 1 << 25
 PAIRS_AT_ONCE = 1_000_000
 
 
@@ -88,6 +93,12 @@ def frequency_code(df: np.ndarray) -> np.ndarray:
     return np.where(df <= 32, df, np.minimum(high, 255)).astype(np.uint8)
 
 
+def blocks_of_code(code: np.ndarray) -> np.ndarray:
+    """The number of blocks of a signature whose rarest token has this frequency code."""
+    df = np.where(code <= 32, code, np.exp2((code.astype(float) - 32) / 8 + 5))
+    return np.maximum(1, np.ceil(df / HOT)).astype(np.int64)
+
+
 def bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The records' bitmaps in one array, with their offsets and widths in words. Bit i is the parity of the tokens that hash
     to it, so folding a bitmap in halves gives the smaller bitmap of the same set."""
@@ -180,34 +191,67 @@ def batches(records: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for frame in frames:
             members = []
             for tbl, key, h, x, own in sets_of_frame(frame, hashes, seeds, shingle):
-                members.append((tbl, key, signed(h), signed(x)))
+                members.append((tbl, key, signed(h), signed(x), signed(xxh64_intdigest(key))))  # the last spreads them over the buckets
                 if h not in held:
                     held[h] = own
                     total += len(own)
                     if len(held) >= BATCH_DOCS or total >= BATCH_TOKENS:
                         yield _rows([_flush(task, number, list(held.items()))])
                         held, total, number = {}, 0, number + 1
-            yield _rows([(*m, None, None, None, None, None, None) for m in members])
+            yield _rows([(*m, None, None, None, None, None) for m in members])
         if held:
             yield _rows([_flush(task, number, list(held.items()))])
 
     return records.where("id IS NOT NULL AND text IS NOT NULL").select("tbl", "id", "text").mapInPandas(run, BATCHES)
 
 
+def repeated(spark: SparkSession, packed: DataFrame) -> DataFrame:
+    """batch and gone: the sets of a batch that an earlier batch holds too. At most BATCH_DOCS of each batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for batch, sets in zip(frame["batch"], frame["sets"], strict=True):
+                yield pd.DataFrame({"h": stretch(sets, np.uint64).view(np.int64), "batch": np.int64(batch)})
+
+    held = packed.select("batch", "sets").mapInPandas(run, "h long, batch long")
+    first = held.groupBy("h").agg(F.min("batch").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return cut(spark, held.join(first, "h").where("batch <> first").groupBy(F.col("batch").alias("b")).agg(F.collect_list("h").alias("gone")), "repeated")
+
+
+def kept(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, places, sizes and sets of a batch's records without those that are gone, and the records' numbers."""
+    u, places, sizes, sets = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64)
+    if row.gone is None or not len(row.gone):
+        return u, places, sizes, sets, np.arange(len(sizes))
+    stay = ~np.isin(sets, np.asarray(row.gone, np.int64).view(np.uint64))
+    return u, places[np.repeat(stay, sizes)], sizes[stay], sets[stay], np.flatnonzero(stay)
+
+
 # ---- 2 frequencies
 
 
-def frequencies(packed: DataFrame, ranges: int) -> DataFrame:
-    """batch and codes: for every batch, per hash range in order, one byte per distinct token."""
+def range_keys(spark: SparkSession, ranges: int) -> list[int]:
+    """Group keys of the hash ranges that lie in different shuffle partitions, as far as there are enough."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own: dict[int, list[int]] = {}
+    for k, p in spark.range(16 * max(ranges, parts)).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))).collect():
+        own.setdefault(p, []).append(k)
+    turns = [k for n in range(max(map(len, own.values()))) for ks in own.values() for k in ks[n : n + 1]]
+    return sorted(turns[:ranges])
+
+
+def frequencies(packed: DataFrame, keys: list[int]) -> DataFrame:
+    """batch and codes: for every batch, per hash range in order, one byte per distinct token. ``keys`` name the ranges."""
+    ranges = len(keys)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for batch, tokens, places in zip(frame["batch"], frame["tokens"], frame["places"], strict=True):
-                u = stretch_sorted(tokens)
-                n = np.bincount(stretch_places(places), minlength=len(u)).astype(np.uint32)
+            for row in frame.itertuples():
+                batch, (u, places, *_) = row.batch, kept(row)
+                n = np.bincount(places, minlength=len(u)).astype(np.uint32)
                 ends = np.searchsorted(u, (np.arange(1, ranges + 1, dtype=np.float64) * (2.0**TOKEN_BITS / ranges)).astype(np.uint64))
                 starts = np.concatenate(([0], ends[:-1]))
-                yield pd.DataFrame([(r, batch, squeeze_sorted(u[s:e]), squeeze(n[s:e])) for r, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s], columns=["r", "batch", "tokens", "n"])
+                yield pd.DataFrame([(keys[r], batch, squeeze_sorted(u[s:e]), squeeze(n[s:e])) for r, (s, e) in enumerate(zip(starts, ends, strict=True)) if e > s], columns=["r", "batch", "tokens", "n"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch")
@@ -218,7 +262,7 @@ def frequencies(packed: DataFrame, ranges: int) -> DataFrame:
         ends = np.cumsum([len(x) for x in own])
         return pd.DataFrame([(b, int(frame["r"].iloc[0]), squeeze(code[e - len(x) : e])) for b, x, e in zip(frame["batch"], own, ends, strict=True)], columns=["b", "r", "codes"])
 
-    asked = packed.select("batch", "tokens", "places").mapInPandas(send, "r int, batch long, tokens binary, n binary")
+    asked = packed.select("batch", "tokens", "places", "sizes", "sets", "gone").mapInPandas(send, "r int, batch long, tokens binary, n binary")
     told = asked.groupBy("r").applyInPandas(answer, "b long, r int, codes binary")
     return told.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "codes"))), lambda x: x["codes"]).alias("codes"))
 
@@ -227,8 +271,29 @@ def frequencies(packed: DataFrame, ranges: int) -> DataFrame:
 
 
 def signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, record, inner) of a batch: ``u`` its distinct tokens, ``code`` their frequencies, ``places`` the tokens of
-    the records one after another, ``sizes`` how many each record has."""
+    """(signature, record, inner) of a batch (see ``coded_signatures``)."""
+    return coded_signatures(u, code, places, sizes, rare)[:3]
+
+
+def in_blocks(sig: np.ndarray, rec: np.ndarray, inner: np.ndarray, code: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, record, kind) with hot signatures divided into blocks: kind 0 owns its pairs, 1 is inner, 2 is neither."""
+    kind = np.where(inner, 0, 2)
+    count = blocks_of_code(code)
+    hot = count > 1
+    if not hot.any():
+        return sig, rec, kind
+    one = np.repeat(np.flatnonzero(hot), count[hot])
+    block = spans(np.zeros(int(hot.sum()), np.int64), count[hot])
+    owns = (sets[rec[one]] % count[one].astype(np.uint64)).astype(np.int64) == block
+    more = np.where(inner[one], np.where(owns, 0, 1), 2)
+    with np.errstate(over="ignore"):
+        salted = mix(sig[one] + (block.astype(np.uint64) + np.uint64(1)) * C1)
+    return np.concatenate([sig[~hot], salted]), np.concatenate([rec[~hot], rec[one]]), np.concatenate([kind[~hot], more])
+
+
+def coded_signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, record, inner, frequency code of its rarest token) of a batch: ``u`` its distinct tokens, ``code`` their
+    frequencies, ``places`` the tokens of the records one after another, ``sizes`` how many each record has."""
     order = np.lexsort((u, code))
     rank = np.empty(len(u), np.int64)
     rank[order] = np.arange(len(u))
@@ -237,7 +302,7 @@ def signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes: np.nd
     at = order[key - record * len(u)]  # tokens of each record in the global order
     token, freq = u[at], code[at]
     starts = np.cumsum(sizes) - sizes
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     n_all = sizes.astype(np.int64)
     inner_need = n_all - -(-2 * n_all // 3) + 1
     outer_need = n_all - -(-n_all // 2) + 1
@@ -265,7 +330,7 @@ def signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes: np.nd
         salt = mix(np.array([tier + 1], np.uint64))[0]
         keep = np.flatnonzero(outer & single & (fr > 1))
         with np.errstate(over="ignore"):
-            out.append((mix(tok[keep] + salt), rec[keep], inner[keep]))
+            out.append((mix(tok[keep] + salt), rec[keep], inner[keep], fr[keep]))
             some = np.flatnonzero(outer & ~single & (fr > 1))
             if len(some):
                 gk = rec[some] * classes + group[some]
@@ -277,36 +342,39 @@ def signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes: np.nd
                     if not len(same):
                         break
                     a, b = o[same], o[same + lag]
-                    out.append((mix(mix(tok[a] + salt) * C1 + tok[b]), rec[a], inner[b]))
+                    out.append((mix(mix(tok[a] + salt) * C1 + tok[b]), rec[a], inner[b], np.minimum(fr[a], fr[b])))
                     lag += 1
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, bool))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, bool), np.empty(0, np.uint8))
 
 
 SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary, sets binary, maps binary"
 
 
-def send_signatures(joined: DataFrame, ranges: int) -> DataFrame:
+def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
     """Per batch and hash range: its signatures with the records they belong to, and those records' sizes and bitmaps.
     Within its range a signature keeps 32 bits: a range holds some million, and false meetings fail the bitmap bound."""
+    ranges = len(keys)
     lows = np.array([r * (1 << 64) // ranges for r in range(ranges)], np.uint64)
     shift = np.uint64(max(0, ((1 << 64) // ranges).bit_length() - 32))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                u, places, sizes, sets = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64)
+                u, places, sizes, sets, own = kept(row)
+                if not len(own):
+                    continue
                 code = np.concatenate([stretch(x, np.uint8) for x in row.codes])
-                sig, rec, inner = signatures(u, code, places, sizes)
+                sig, rec, kind = in_blocks(*coded_signatures(u, code, places, sizes), sets)
                 maps, offsets, widths = bitmaps(u[places], sizes)
                 order = np.argsort(sig)
-                sig, rec, inner = sig[order], rec[order], inner[order]
+                sig, rec, kind = sig[order], rec[order], kind[order]
                 edges = np.append(np.searchsorted(sig, lows), len(sig))
                 for r in range(ranges):
                     s, e = edges[r], edges[r + 1]
                     if s == e:
                         continue
                     docs, local = np.unique(rec[s:e], return_inverse=True)
-                    yield pd.DataFrame([(r, row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 2 + inner[s:e]).astype(np.uint32)), squeeze(docs.astype(np.uint32)), squeeze(sizes[docs]), squeeze(sets[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "sets", "maps"])
+                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze(own[docs].astype(np.uint32)), squeeze(sizes[docs]), squeeze(sets[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "sets", "maps"])
 
     return joined.mapInPandas(run, SENT)
 
@@ -344,7 +412,7 @@ def candidates(sent: DataFrame) -> DataFrame:
         for row in frame.itertuples():
             docs = stretch(row.docs, np.uint32)
             sigs.append(stretch_sorted(row.sig))
-            recs.append(stretch(row.rec, np.uint32).astype(np.int32) + np.int32(2 * base))
+            recs.append(stretch(row.rec, np.uint32).astype(np.int64) + 4 * base)
             gids.append((np.int64(row.batch) << 15) + docs.astype(np.int64))
             sizes.append(stretch(row.sizes, np.int32))
             sets.append(stretch(row.sets, np.uint64))
@@ -354,27 +422,29 @@ def candidates(sent: DataFrame) -> DataFrame:
         n = n.astype(np.int32)
         width = bitmap_widths(n)
         offset = np.cumsum(width) - width
-        o = np.argsort(sig, kind="stable")
-        sig, rec = sig[o], rec[o]
-        new = np.concatenate(([True], sig[1:] != sig[:-1]))
-        starts = np.flatnonzero(new)
-        run_length = np.diff(np.append(starts, len(sig)))
+        kind, rec = (rec & 3).astype(np.uint64), (rec >> 2).astype(np.int32)
+        key = (sig << np.uint64(32)) | (n[rec].astype(np.uint64) << np.uint64(2)) | kind  # by signature, size and kind
+        o = np.argsort(key)
+        key, rec = key[o], rec[o]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32)))))
+        run_length = np.diff(np.append(starts, len(key)))
         lone = np.repeat(run_length == 1, run_length)
-        sig, rec = sig[~lone], rec[~lone]
-        run_length = run_length[run_length > 1]
-        left = (np.repeat(np.cumsum(run_length), run_length) - 1 - np.arange(len(sig))).astype(np.int32)  # partners after each entry in its run
-        inner, rec = (rec & 1).astype(bool), rec >> 1
+        key, rec = key[~lone], rec[~lone]
+        own = np.flatnonzero((key & np.uint64(3)) == 0)
+        high, size = key[own] >> np.uint64(32) << np.uint64(32), (key[own] & np.uint64(0xFFFFFFFF)) >> np.uint64(2)
+        same = np.searchsorted(key, high | (size << np.uint64(2)) | np.uint64(2))  # the end of the inner records of its size
+        larger = np.searchsorted(key, high | ((size + np.uint64(1)) << np.uint64(2)))
+        end = np.searchsorted(key, high | (np.minimum(2 * size, np.uint64((1 << 30) - 1)) << np.uint64(2)) | np.uint64(3))
+        left, first, length = np.concatenate([own, own]), np.concatenate([own + 1, larger]), np.concatenate([same - own - 1, end - larger])
+        some = length > 0
+        left, first, length = left[some], first[some], length[some]
         out: list[np.ndarray] = []
-        edges = np.concatenate(([0], np.cumsum(left, dtype=np.int64)))
+        edges = np.concatenate(([0], np.cumsum(length)))
         at = 0
-        while at < len(sig):  # as many entries at once as make PAIRS_AT_ONCE pairs; a single hot entry is still bounded by its run
+        while at < len(left):  # as many records at once as make PAIRS_AT_ONCE pairs; a single one is bounded by its block
             stop = max(at + 1, int(np.searchsorted(edges, edges[at] + PAIRS_AT_ONCE, "right")) - 1)
-            k = left[at:stop]
-            i = np.repeat(np.arange(at, stop, dtype=np.int32), k)
-            j = i + 1 + (np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int32)
-            x, y = rec[i], rec[j]
-            nx, ny = n[x], n[y]
-            fits = np.where(nx == ny, inner[i] & inner[j], np.where(nx < ny, inner[i], inner[j])) & (2 * np.minimum(nx, ny) >= np.maximum(nx, ny)) & (h[x] != h[y])
+            x, y = rec[np.repeat(left[at:stop], length[at:stop])], rec[spans(first[at:stop], length[at:stop])]
+            fits = h[x] != h[y]
             x, y = x[fits], y[fits]
             pair = np.unique(np.minimum(x, y).astype(np.int64) * len(gid) + np.maximum(x, y))
             x, y = pair // len(gid), pair % len(gid)
@@ -394,51 +464,19 @@ def candidates(sent: DataFrame) -> DataFrame:
 # ---- 4 verification
 
 
-def bloom(spark: SparkSession, keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter (two hashes) of a long column: bit blocks are joined in the executors; its size does not depend on the data."""
-    block = 1 << 18
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(bits, bool)
-        for frame in frames:
-            for at in bloom_places(frame["g"].to_numpy(np.int64), bits):
-                own[at] = True
-        packed = np.packbits(own.reshape(-1, block), axis=1)
-        yield pd.DataFrame([(i, x.tobytes()) for i, x in enumerate(packed) if x.any()], columns=["i", "x"])
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = np.frombuffer(frame["x"].iloc[0], np.uint8).copy()
-        for x in frame["x"]:
-            whole |= np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"i": [int(frame["i"].iloc[0])], "x": [whole.tobytes()]})
-
-    out = np.zeros(bits, bool)
-    for i, x in keys.mapInPandas(run, "i int, x binary").groupBy("i").applyInPandas(join, "i int, x binary").collect():
-        out[i * block : (i + 1) * block] = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
-    return np.packbits(out)
-
-
-def bloom_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys.view(np.uint64) + C1)
-    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
-
-
 def verified(spark: SparkSession, packed: DataFrame, pairs: DataFrame) -> DataFrame:
     """ha, hb and similarity of the candidate pairs that are similar enough."""
-    needed = spark.sparkContext.broadcast(bloom(spark, pairs.select(F.explode(F.array("ga", "gb")).alias("g"))))
+    asked = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).groupBy(F.shiftright("g", 15).alias("b")).agg(F.collect_set("g").alias("asked"))  # at most BATCH_DOCS
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.unpackbits(needed.value).astype(bool)
         for frame in frames:
             for row in frame.itertuples():
                 u, places, sizes = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32)
-                gid = (np.int64(row.batch) << 15) + np.arange(len(sizes), dtype=np.int64)
-                one, two = bloom_places(gid, len(flags))
                 ends = np.cumsum(sizes)
-                some = np.flatnonzero(flags[one] & flags[two])
-                yield pd.DataFrame([(int(gid[d]), squeeze_sorted(u[np.sort(places[ends[d] - sizes[d] : ends[d]])])) for d in some], columns=["g", "s"])
+                own = [(int(g), int(g) & 0x7FFF) for g in row.asked]
+                yield pd.DataFrame([(g, squeeze_sorted(u[np.sort(places[ends[d] - sizes[d] : ends[d]])])) for g, d in own], columns=["g", "s"])
 
-    sets = packed.select("batch", "tokens", "places", "sizes").mapInPandas(sets_of, "g long, s binary")
+    sets = packed.select("batch", "tokens", "places", "sizes").join(asked, F.col("batch") == F.col("b")).mapInPandas(sets_of, "g long, s binary")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -470,12 +508,13 @@ def bucketed(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
 def similar_sets(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): tbl, id, h, x of every record with tokens, and ha < hb, similarity of the linked classes."""
     stored = bucketed(spark, batches(records), "batch")
-    packed = stored.where("batch IS NOT NULL")
-    members = stored.where("batch IS NULL").select("tbl", "id", "h", "x").distinct()
+    packed = stored.where("total IS NOT NULL")
+    members = stored.where("total IS NULL").select("tbl", "id", "h", "x").distinct()
     total = packed.agg(F.sum("total")).first()[0] or 0
-    ranges = max(6, -(-total // 6_000_000))  # hash ranges of some million tokens each
-    joined = packed.select("batch", "tokens", "places", "sizes", "sets").join(frequencies(packed, ranges), F.col("batch") == F.col("b")).drop("b")
-    pairs = cut(spark, candidates(send_signatures(joined, ranges)), "candidates")
+    keys = range_keys(spark, max(1, -(-total // RANGE_TOKENS)))
+    own = packed.select("batch", "tokens", "places", "sizes", "sets").join(repeated(spark, packed), F.col("batch") == F.col("b"), "left").drop("b")
+    joined = own.join(frequencies(own, keys), F.col("batch") == F.col("b")).drop("b")
+    pairs = cut(spark, candidates(send_signatures(joined, keys)), "candidates")
     return members, verified(spark, packed, pairs)
 
 
@@ -537,3 +576,19 @@ def groups(spark: SparkSession, records: DataFrame) -> DataFrame:
     named = own.join(names, ["tbl", "component"]).groupBy("tbl", "id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))
     every = records.where("id IS NOT NULL").select("tbl", "id").distinct()
     return every.join(named, ["tbl", "id"], "left").select("tbl", "id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def classes(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole result without pairs of copies. Members: tbl, id, class_id (the smallest id of the records with its set of
+    runs), size of the class, links (similar classes); one row per record and class, for records without runs a class of their
+    own. Links: tbl, class_a, class_b, similarity."""
+    members, links = similar_sets(spark, records)
+    links, members = cut(spark, links, "links"), cut(spark, members.drop("x").distinct(), "members")
+    names = cut(spark, members.groupBy("h").agg(F.first("tbl").alias("t"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")), "names")
+    degree = links.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
+    own = members.join(names.join(degree, "h", "left").drop("t"), "h").select("tbl", "id", "class_id", "size", F.coalesce("links", F.lit(0)).alias("links"))
+    every = records.where("id IS NOT NULL").select("tbl", "id").distinct()
+    listed = every.join(own, ["tbl", "id"], "left").select("tbl", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("links", F.lit(0)).alias("links"))
+    end = lambda side: names.select(F.col("h").alias(f"h{side}"), F.col("t").alias(f"t{side}"), F.col("class_id").alias(f"c{side}"))
+    joined = links.join(end("a"), "ha").join(end("b"), "hb")
+    return listed, joined.select(F.col("ta").alias("tbl"), F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), F.round("similarity", 6).alias("similarity"))

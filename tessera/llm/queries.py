@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_conversations": lambda s, d: conversations.conversations(s, f"{d}/history_messages.parquet"),
     "p3_found": lambda s, d: near_duplicates.found(s, near_duplicates.image_records(table(s, d, "blocks"), table(s, d, "image_descriptions"))),
     "p3_groups": lambda s, d: near_duplicates.groups(s, near_duplicates.image_records(table(s, d, "blocks"), table(s, d, "image_descriptions"))),
+    "p3_members": lambda s, d: near_duplicates.classes(s, near_duplicates.image_records(table(s, d, "blocks"), table(s, d, "image_descriptions")))[0],
+    "p3_links": lambda s, d: near_duplicates.classes(s, near_duplicates.image_records(table(s, d, "blocks"), table(s, d, "image_descriptions")))[1],
     "p4_found": lambda s, d: personal.found(s, table(s, d, "memories"), table(s, d, "conversation_messages")),
     "p4_redacted": lambda s, d: personal.find(s, personal.values_of(table(s, d, "memories"), table(s, d, "conversation_messages"))),
     "p5_found": lambda s, d: lookalikes.found(s, table(s, d, "blocks"), table(s, d, "memories")),

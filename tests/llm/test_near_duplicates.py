@@ -138,3 +138,49 @@ def test_encodings():
     assert (N.stretch_sorted(N.squeeze_sorted(a)) == a).all() and len(N.stretch_sorted(N.squeeze_sorted(a[:0]))) == 0
     p = r.integers(0, 1 << 31, 1000).astype(np.uint32)
     assert (N.stretch_places(N.squeeze_places(p)) == p).all()
+
+
+def test_copies_in_many_batches_are_one_record(spark):
+    """A set that every task holds is kept by one batch only; its links and members stay whole."""
+    text = " ".join(f"w{i}" for i in range(42))
+    rows = [("blocks", f"c{i:03}", text) for i in range(120)] + [("blocks", "near", text + " w42"), ("blocks", "far", "a b c d e f")]
+    df = spark.createDataFrame(rows, "tbl string, id string, text string").repartition(40)
+    stored = N.bucketed(spark, N.batches(df), "batch")
+    packed = stored.where("total IS NOT NULL")
+    gone = N.repeated(spark, packed).collect()
+    sets = [h for r in packed.select("sets").collect() for h in N.stretch(r[0], np.uint64).tolist()]
+    assert sum(len(r["gone"]) for r in gone) == len(sets) - len(set(sets)) > 20 and len(set(sets)) == 3
+    members, links = N.classes(spark, df)
+    got = {r["id"]: (r["class_id"], r["size"], r["links"]) for r in members.collect()}
+    assert got == {f"c{i:03}": ("c000", 120, 1) for i in range(120)} | {"near": ("near", 1, 1), "far": ("far", 1, 0)}
+    assert [tuple(r)[:3] for r in links.collect()] == [("blocks", "c000", "near")]
+
+
+def test_blocks_of_hot_signatures_lose_no_pair():
+    """Every inner record meets every record of its signature in a block where one of the two owns the pair."""
+    r = np.random.default_rng(5)
+    n = 200
+    sig, rec, inner = np.full(n, 7, np.uint64), np.arange(n), r.random(n) < 0.5
+    code = np.full(n, N.frequency_code(np.array([N.HOT * 5]))[0])
+    assert int(N.blocks_of_code(code)[0]) >= 5
+    s, d, k = N.in_blocks(sig, rec, inner, code, r.integers(1, 1 << 60, n).astype(np.uint64))
+    blocks = {}
+    for a, b, c in zip(s.tolist(), d.tolist(), k.tolist(), strict=True):
+        blocks.setdefault(a, []).append((b, c))
+    met = {frozenset((a, b)) for own in blocks.values() for (a, x), (b, y) in itertools.permutations(own, 2) if x == 0}
+    assert met == {frozenset((a, b)) for a, b in itertools.combinations(range(n), 2) if inner[a] or inner[b]}
+    cold = N.in_blocks(sig, rec, inner, np.full(n, 3, np.uint8), np.arange(n).astype(np.uint64))
+    assert (cold[0] == sig).all() and (cold[2] == np.where(inner, 0, 2)).all()
+
+
+def test_classes_hold_what_stars_leave_out(spark):
+    """Members and links together give every pair of the brute force."""
+    rows = corpus(9, 120, 20) + [("blocks", f"z{i}", "one two three four five six") for i in range(N.EXPAND + 3)] + [("blocks", "zz", "one two three four five seven"), ("blocks", None, "x y z"), ("blocks", "short", "a")]
+    members, links = N.classes(spark, spark.createDataFrame(rows, "tbl string, id string, text string").repartition(6))
+    of = {}
+    for m in members.collect():
+        of.setdefault((m["tbl"], m["class_id"]), set()).add(m["id"])
+    got = {(t, *p) for (t, _), ids in of.items() for p in itertools.combinations(sorted(ids), 2)}
+    for x in links.collect():
+        got |= {(x["tbl"], *sorted((a, b))) for a in of[x["tbl"], x["class_a"]] for b in of[x["tbl"], x["class_b"]]}
+    assert got == brute(rows)
