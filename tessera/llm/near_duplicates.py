@@ -411,25 +411,36 @@ def candidates(sent: DataFrame) -> DataFrame:
         sigs, recs, gids, sizes, sets, maps, base = [], [], [], [], [], [], 0
         for row in frame.itertuples():
             docs = stretch(row.docs, np.uint32)
-            sigs.append(stretch_sorted(row.sig))
-            recs.append(stretch(row.rec, np.uint32).astype(np.int64) + 4 * base)
+            sigs.append(stretch_sorted(row.sig).astype(np.uint32))
+            recs.append(stretch(row.rec, np.uint32) + np.uint32(4 * base))
             gids.append((np.int64(row.batch) << 15) + docs.astype(np.int64))
             sizes.append(stretch(row.sizes, np.int32))
             sets.append(stretch(row.sets, np.uint64))
             maps.append(np.frombuffer(row.maps, np.uint64))
             base += len(docs)
-        sig, rec, gid, n, h, m = (np.concatenate(x) for x in (sigs, recs, gids, sizes, sets, maps))
+        del frame
+        gid, n, h, m = (np.concatenate(x) for x in (gids, sizes, sets, maps))
+        del gids, sizes, sets, maps
+        sig = np.concatenate(sigs)
+        del sigs
+        order = np.arange(len(sig), dtype=np.uint64)  # signature and place in one number, sorted in its place
+        order |= sig.astype(np.uint64) << np.uint64(32)
+        order.sort()
+        sig = (order >> np.uint64(32)).astype(np.uint32)
+        same = sig[1:] == sig[:-1]
+        met = np.concatenate((same, [False])) | np.concatenate(([False], same))  # others are alone with their signature
+        rec = np.concatenate(recs)[(order & np.uint64(0xFFFFFFFF))[met].astype(np.uint32)]
+        sig = sig[met]
+        del recs, order, same, met
         n = n.astype(np.int32)
         width = bitmap_widths(n)
         offset = np.cumsum(width) - width
-        kind, rec = (rec & 3).astype(np.uint64), (rec >> 2).astype(np.int32)
-        key = (sig << np.uint64(32)) | (n[rec].astype(np.uint64) << np.uint64(2)) | kind  # by signature, size and kind
+        rec, kind = (rec >> np.uint32(2)).astype(np.int32), (rec & np.uint32(3)).astype(np.uint8)
+        key = (sig.astype(np.uint64) << np.uint64(32)) | (n[rec].astype(np.uint64) << np.uint64(2)) | kind  # by signature, size and kind
+        del sig, kind
         o = np.argsort(key)
         key, rec = key[o], rec[o]
-        starts = np.flatnonzero(np.concatenate(([True], (key[1:] >> np.uint64(32)) != (key[:-1] >> np.uint64(32)))))
-        run_length = np.diff(np.append(starts, len(key)))
-        lone = np.repeat(run_length == 1, run_length)
-        key, rec = key[~lone], rec[~lone]
+        del o
         own = np.flatnonzero((key & np.uint64(3)) == 0)
         high, size = key[own] >> np.uint64(32) << np.uint64(32), (key[own] & np.uint64(0xFFFFFFFF)) >> np.uint64(2)
         same = np.searchsorted(key, high | (size << np.uint64(2)) | np.uint64(2))  # the end of the inner records of its size
