@@ -1,7 +1,8 @@
 """Problem 1: oversized items cut into pieces at natural boundaries.
 
 Method: recursive bisection. A text over the limit is cut at the strongest boundary near its midpoint; halves still
-over ``limit - overlap`` are cut again; then every piece but the first gets the ``overlap`` characters before it.
+over ``limit - overlap`` are cut again; then every piece but the first gets the ``overlap``
+characters before it, and a few more where that would separate a character from its combining marks and there is room.
 
 Defined results: null and empty texts, and texts within the limit, are one piece equal to the text (null stays null,
 and its length counts as 0). Repeated rows of a block (same ``block_id``) are one block: the row with the smallest
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 2000, 200
 #: Marks that end a sentence, as the statement of the problem lists them.
 ENDS = "。！？.!?；;"
-FORCED = re.compile("[^\n" + re.escape(ENDS) + "]+")
+END = re.compile("[\n" + re.escape(ENDS) + "]")
 
 #: Boundaries by strength; a cut is made after the match.
 BOUNDARIES = [
@@ -81,17 +82,42 @@ def bisect(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     return done
 
 
-def cut_kind(text: str, limit: int = LIMIT) -> str:
-    """``forced`` if a run without line feed and without sentence mark is longer than the limit, else ``natural``."""
-    return "forced" if any(m.end() - m.start() > limit for m in FORCED.finditer(text)) else "natural"
+def unbroken(text: str, at: int, most: int) -> int:
+    """The length of the run without line feed and sentence mark that ``at`` lies in, counted up to ``most`` on either side."""
+    ahead = END.search(text, at, at + most)
+    low = max(0, at - most)
+    behind = max((m.end() for m in END.finditer(text, low, at)), default=low)
+    return (ahead.start() if ahead else min(len(text), at + most)) - behind
+
+
+def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, int]]:
+    """(start, stop, start of the core, strength of the cut before it, unbroken run at that cut) of every piece."""
+    out = []
+    for n, (start, stop, strength) in enumerate(bisect(text, limit, overlap)):
+        at = max(0, start - overlap) if n else start
+        while n and at > 0 and stop - at < limit and (_attached(text[at]) or text[at - 1] == "\u200d"):
+            at -= 1
+        out.append((at, stop, start, strength, unbroken(text, start, limit + 1) if strength < NATURAL else 0))
+    return out
+
+
+def kind_of(pieces: list[tuple[int, int, int, int, int]], limit: int = LIMIT) -> str:
+    """``forced`` if a piece begins inside a run without line feed and sentence mark that is longer than the limit (such a run
+    fits into no piece, so one does), else ``natural``."""
+    return "forced" if any(run > limit for *_, run in pieces) else "natural"
+
+
+def cut_kind(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> str:
+    """The kind of a text's cuts."""
+    return kind_of(pieces_of(text, limit, overlap), limit)
 
 
 def split_long(df: DataFrame, key: str = "block_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the rows whose text is over ``limit`` code points.
 
     One row per piece: ``key``, ``piece`` from 0, ``start`` and ``stop`` (code points, with the overlap), ``core_start``,
-    ``strength`` of the cut before the piece (0 forced, 9 none), ``cut`` of the whole text, ``piece_text``. Only the
-    long texts leave the JVM; the filter is evaluated in the scan.
+    ``strength`` of the cut before the piece (0 forced, 9 none), ``cut`` of the text as its pieces show it, ``piece_text``.
+    Only the long texts leave the JVM; the filter is evaluated in the scan.
     """
     long = df.where(F.length(text) > limit).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
 
@@ -99,20 +125,23 @@ def split_long(df: DataFrame, key: str = "block_id", text: str = "text", limit:
         for frame in frames:
             rows = []
             for k, t in zip(frame["k"], frame["t"], strict=True):
-                kind = cut_kind(t, limit)
-                for n, (start, stop, strength) in enumerate(bisect(t, limit, overlap)):
-                    at = max(0, start - overlap) if n else start
-                    rows.append((k, n, at, stop, start, strength, kind, t[at:stop]))
+                own = pieces_of(t, limit, overlap)
+                kind = kind_of(own, limit)
+                rows += [(k, n, at, stop, start, strength, kind, t[at:stop]) for n, (at, stop, start, strength, _) in enumerate(own)]
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "stop", "core_start", "strength", "cut", "piece_text"])
 
     out = long.mapInPandas(run, "k string, piece int, start int, stop int, core_start int, strength int, cut string, piece_text string")
     return out.withColumnRenamed("k", key)
 
 
+def _kept():
+    """What decides which row of a repeated block is kept: the smallest."""
+    return F.struct(F.col("document_order").isNull().alias("no"), "document_order", F.col("imported_at").isNull().alias("ni"), "imported_at", "text", "doc_id", "chunk_type")
+
+
 def one_row_per_block(blocks: DataFrame) -> DataFrame:
     """Each block once (see the module's text). Pre-aggregated before the shuffle, so copies of a hot block collapse early."""
-    kept = F.struct(F.col("document_order").isNull().alias("no"), "document_order", F.col("imported_at").isNull().alias("ni"), "imported_at", "text", "doc_id", "chunk_type")
-    return blocks.groupBy("block_id").agg(F.min(kept).alias("r")).select("block_id", "r.doc_id", "r.document_order", "r.chunk_type", "r.text")
+    return blocks.groupBy("block_id").agg(F.min(_kept()).alias("r")).select("block_id", "r.doc_id", "r.document_order", "r.chunk_type", "r.text")
 
 
 def renumber(counts: DataFrame, span: int = 1024, spread: int = 64) -> DataFrame:
@@ -138,17 +167,29 @@ def renumber(counts: DataFrame, span: int = 1024, spread: int = 64) -> DataFrame
 def split_blocks(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """All blocks after the split: block_id, doc_id, piece, pieces, document_order (renumbered from 0), text.
 
-    The texts are not moved for the numbering: it runs over ids and piece counts and is joined back.
+    The numbering runs over ids and piece counts. The kept row of each block stays where its aggregate puts it, by block_id,
+    and the numbers are brought there; long texts are split twice, for the counts and for the pieces, as moving the pieces
+    would cost more.
     """
     once = one_row_per_block(blocks)
-    pieces = split_long(once, limit=limit, overlap=overlap)
-    counts = pieces.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = split_long(once, limit=limit, overlap=overlap).groupBy("block_id").agg(F.max(F.col("piece") + 1).alias("n"))
     slim = once.select("block_id", "doc_id", "document_order").join(counts, "block_id", "left").withColumn("pieces", F.coalesce("n", F.lit(1))).drop("n")
-    order = renumber(slim).select(F.col("block_id").alias("b"), "pieces", "first_order")
-    short = once.where((F.length("text") <= limit) | F.col("text").isNull()).select("block_id", "doc_id", F.lit(0).alias("piece"), F.col("text").alias("piece_text"))
-    long = pieces.join(once.select("block_id", "doc_id"), "block_id").select("block_id", "doc_id", "piece", "piece_text")
-    both = short.unionByName(long)
-    return both.join(order, both["block_id"].eqNullSafe(order["b"])).select("block_id", "doc_id", "piece", "pieces", (F.col("first_order") + F.col("piece")).cast("long").alias("document_order"), F.col("piece_text").alias("text"))
+    order = renumber(slim).select("block_id", F.col("doc_id").alias("own"), "first_order")
+    lone = once.where("block_id IS NULL").drop("document_order", "chunk_type")  # one row at most
+    nameless = order.where("block_id IS NULL").drop("block_id")
+    both = once.drop("document_order", "chunk_type").join(order, "block_id").unionByName(lone.join(nameless, lone["doc_id"].eqNullSafe(nameless["own"])))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for b, d, t, first in zip(frame["block_id"], frame["doc_id"], frame["text"], frame["first_order"], strict=True):
+                own = [t[at:stop] for at, stop, *_ in pieces_of(t, limit, overlap)]
+                rows += [(b, d, n, len(own), first + n, x) for n, x in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["block_id", "doc_id", "piece", "pieces", "document_order", "text"])
+
+    long = F.coalesce(F.length("text") > limit, F.lit(False))
+    whole = both.where(~long).select("block_id", "doc_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.col("first_order").cast("long").alias("document_order"), "text")
+    return whole.unionByName(both.where(long).mapInPandas(run, "block_id string, doc_id string, piece int, pieces int, document_order long, text string"))
 
 
 def chunk_counts(documents: DataFrame, blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
