@@ -2,7 +2,9 @@ import datetime as dt
 import itertools
 import random
 import re
+import time
 
+import pandas as pd
 import pytest
 
 from tessera.llm import conversations as C
@@ -68,3 +70,29 @@ def test_summary_against_the_rule():
         q = "".join(x[0] for x in roles if x != "tool")
         assert (ok and first == "user" and last == "assistant") == bool(re.fullmatch("(ua+)+", q))
         assert (n, low, high) == (len(roles), 1, len(roles))
+
+
+def test_late_rows_are_made_good(spark, tmp_path):
+    """Rows later than the delay are dropped by the watermark, or open a closed segment again; the result is that of all rows."""
+    early = conversation("a", ["user", "ai"]) + conversation("b", ["user"]) + conversation("d", ["user", "ai", "user"])
+    far = [(f"x{i}", "x", r, "t", T0 + dt.timedelta(days=400), i + 1, "x") for i, r in enumerate(["user", "ai"])]
+    late = [("b-1", "b", "ai", "answer", T0 + dt.timedelta(days=1), 2, "x"), ("a-2", "a", "user", "again", T0, 3, "x"), ("e-1", "e", "user", "x", T0, 1, "x"), ("e-2", "e", "ai", "x", None, 2, "x")]
+    again = [("d-3", "d", "ai", "answer", T0 + dt.timedelta(days=500), 4, "x")]
+    path = f"{tmp_path}/late.parquet"
+    for rows in (early, far, late, again):  # the file source reads in order of time
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    emitted = C.stream_table(spark, f"file://{path}", 1, "1 day", 60, True)
+    missing = {r[0] for r in C.incomplete(spark.read.parquet(path), emitted).collect()}
+    assert missing & {"a", "b", "e"} and "x" not in missing
+    got = C.replay(spark, f"file://{path}", files_per_trigger=1, delay="1 day", timeout_s=60)
+    assert {r["conversation_id"]: r["kept"] for r in C.verdicts(got).collect()} == {"a": False, "b": True, "d": True, "e": True, "x": True}
+    assert got.where("conversation_id = 'b' AND kind = 'turn'").count() == 2
+
+
+def test_state_columns_round_trip():
+    held = C.Segments()
+    held.add(pd.DataFrame([("c", 0, "m", "user", "t", 1, 5, 7), ("c", 0, "m", "user", "t", 1, 9, None), ("c", -3, "n", None, None, None, 4, None)], columns=C.ROWS))
+    back = C.Segments(held.stored())
+    assert back.open == held.open == {("c", 0): [{"m": [7, 1, "user", "t"]}, 2, 9], ("c", -3): [{"broken": [None, None, None, None]}, 1, 4]}
+    assert len(back.close(4, True)) == 1 and list(back.open) == [("c", 0)]
