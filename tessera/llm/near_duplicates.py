@@ -59,7 +59,7 @@ RARE = 6  # tokens in at most so many records are indexed singly
 EXPAND = 32  # exact copies of one text that are paired in full
 SPREAD = 16  # parts of a large class that are paired in different tasks
 HOT = 8192  # records of a signature that are paired in one block
-RANGE_TOKENS = 6_000_000  # tokens of a hash range
+RANGE_TOKENS = 2_000_000  # tokens of a hash range
 BATCH_DOCS, BATCH_TOKENS = 16384, 1_500_000
 TOKEN_BITS = 44
 TIERS = [(0, 40, 0)] + [(40 * 8**k, 40 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
