@@ -38,10 +38,16 @@ COMPOUND = "欧阳 司马 诸葛 上官 司徒 东方 独孤 南宫 万俟 闻
 #: Words that make an address (fixed values).
 STREET = "Street|St|Road|Rd|Lane|Ln|Close|Avenue|Ave|Terrace|Drive|Dr|Way|Court|Ct|Place|Pl|Square|Sq|Crescent|Boulevard|Blvd|Row|Gardens|Grove|Hill|Mews|Walk|Parade|Highway|Alley"
 UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|Floor|Bldg)\s?#?\w{1,5}"
-CAP = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þ]?[a-zà-öø-ÿ]+)*"
+UP, LOW = "A-ZÀ-ÖØ-ÞĀ-Ž", "a-zà-öø-ÿā-ž"
+CAP = rf"[{UP}][{LOW}]+(?:[-'’][{UP}]?[{LOW}]+)*"
+#: Capitalised words of other scripts with letter case, and what may stand between the parts of a name (fixed values).
+OTHER = "(?:[А-ЯЁІЇЄҐЎ][а-яёіїєґў]+|[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰς]+)(?:-(?:[А-ЯЁІЇЄҐЎ]|[Α-Ω])[а-яёіїєґўα-ωάέήίόύώς]+)?"
+PARTICLE = "(?:de la|de los|de las|van der|van den|von der|de|da|di|del|della|du|dos|das|la|le|van|von|zu|ter|ten|bin|ibn|al|el|y|Ní|Nic|Ó|Ua|Mac|Mc|af|av)"
 TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Professor|Doctor)"
 AT, DOT = r"(?:\s*[\(\[{<]\s*(?:at|ät|AT|At)\s*[\)\]}>]\s*|\s+(?:at|AT)\s+|\s*艾特\s*)", r"(?:\s*[\(\[{<]\s*(?:dot|DOT|Dot|punkt)\s*[\)\]}>]\s*|\s+(?:dot|DOT)\s+|\s*点\s*)"
 H = "一-鿿"
+#: What people are introduced by, where a name may stand in lower case (fixed values).
+CUES = "friend colleague manager boss teacher neighbour neighbor sister brother cousin wife husband partner daughter son mother father aunt uncle landlord dentist doctor".split()
 
 #: What may follow a street: nothing, a full stop, a unit, a place, a place with its code; each is a candidate of its own.
 PARTS = ["", r"\.", rf"\.?,? {UNIT}", rf"\.?(?:,? {UNIT})?, {CAP}(?: {CAP}){{0,2}}", rf"\.?(?:,? {UNIT})?, {CAP}(?: {CAP}){{0,2}},?(?: [A-Z]{{2}})? \d{{4,6}}"]
@@ -63,78 +69,129 @@ SHAPES = [
     ("person", "initial", re.compile(rf"(?<![\w.-]){CAP} [A-Z]\.(?![\w])")),
     ("person", "turned", re.compile(rf"(?<![\w.-]){CAP}, {CAP}(?![\w-])")),
     ("person", "capitals", re.compile(r"(?<![\w.-])[A-Z]{3,} [A-Z]{3,}(?![\w-])")),
-    ("person", "han4", re.compile(rf"(?=((?:{'|'.join(COMPOUND)}|[{SURNAMES}][{H}])[{H}]{{2}}))")),
-    ("person", "han3", re.compile(rf"(?=((?:{'|'.join(COMPOUND)}|[{SURNAMES}][{H}])[{H}]))")),
-    ("person", "han2", re.compile(rf"(?=([{SURNAMES}][{H}]))")),
+    ("person", "parts", re.compile(rf"(?<![\w.-]){CAP}(?: {CAP})? {PARTICLE} {CAP}(?: {CAP})?(?![\w-])")),
+    ("person", "other", re.compile(rf"(?<![\w.-]){OTHER}(?: {OTHER}){{1,2}}(?![\w-])")),
+    ("person", "cued", re.compile(rf"(?=\b(?i:{'|'.join(CUES)})(?: is| was| named| called|:|,)? (?P<s>[{LOW}]{{2,14}} [{LOW}]{{2,14}})(?![\w-]))")),
+    ("address", "box", re.compile(rf"\b(?:P\.? ?O\.? ?Box|Postfach|PO Box) \d{{1,6}}(?:, {CAP}(?: {CAP})?(?: \d{{4,6}})?)?")),
 ]
-BEFORE = re.compile(rf"([A-Za-z]+|[{H}]{{1,2}}|\d+|[^\w\s])\s*$")
+#: Shapes that need a look only where this occurs.
+GATES = {
+    "plain": re.compile("[@＠]"), "spelled": re.compile(r"[@({\[<]|\s(?:at|AT)\s|艾特"), "digits": re.compile(r"\d\d"), "citizen": re.compile(r"\d{17}"), "social": re.compile(r"\d{3}[- ]\d"), "insurance": re.compile(r"[A-Z]{2} ?\d\d"), "run": re.compile(r"\d{7}"),
+    "street": re.compile(rf"\d[A-Za-z]? [{UP}]"), "joined": re.compile(r"[a-zß.] \d"), "han": re.compile(r"[路街道巷弄同]\d"), "box": re.compile("[Bb]ox|fach"), "titled": re.compile(rf" [{UP}]"), "initial": re.compile(r" [A-Z]\."), "turned": re.compile(rf", [{UP}]"), "capitals": re.compile("[A-Z]{3} [A-Z]{3}"),
+    "pair": re.compile(rf"[{LOW}.] [{UP}]"), "parts": re.compile(rf" {PARTICLE} [{UP}]"), "other": re.compile("[а-яёα-ωά-ώ]"), "cued": re.compile(rf"\b(?:{'|'.join(CUES)})\b", re.I),
+}
+#: A Chinese name: a family name with what follows it.
+_ODD = [c for c in COMPOUND if c[0] not in SURNAMES]
+HAN_NAME = re.compile(rf"(?=([{SURNAMES}][{H}]{{1,3}}|(?:{'|'.join(_ODD)})[{H}]{{1,2}}))")
+RUN = re.compile(rf"(?<![\w.-]){CAP}(?: {CAP}){{2,}}")
+CAP_WORD = re.compile(CAP)
+FAMILY = frozenset(SURNAMES)
 AFTER = re.compile(rf"\s*([A-Za-z]+|[{H}]{{1,2}}|\d+|[^\w\s])")
+LETTERS, TAIL_HAN, HEAD_HAN = re.compile("[A-Za-z]+"), re.compile(f"[{H}]$"), re.compile(f"[{H}]")
+CELL_LEFT, CELL_RIGHT, BAR_LEFT, BAR_RIGHT = re.compile(r"[|,⏎]\s*$"), re.compile(r"\s*[|\n]"), re.compile(r"\|\s*$"), re.compile(r"\s*\|")
+KEY, DIGITS, YEAR, BIRTH, STARTS = re.compile(r'"(\w+)":\s*"$'), re.compile(r"\d+"), re.compile(r"(19|20)\d\d[-./]"), re.compile(r"(19|20)\d\d(0[1-9]|1[0-2])([0-2]\d|3[01])"), re.compile(r"[.!?。！？:]\s*$")
+UNITS = re.compile(r"[ ]?(?:%|条|个|件|点|号|页|items|rows|pages|units|entries|cases|percent)")
+UNIT_NEXT, CODE_NEXT, PLACE_NEXT = re.compile(rf",? {UNIT}"), re.compile(r",? (?:[A-Z]{2} )?\d{4,6}\b"), re.compile(rf", {CAP}(?: {CAP})?(?: \d{{4,6}}|\s*[.,;。，；\n|\"]|$)")
+STREET_END, CAP_LEFT, CAP_RIGHT, CAPITALS = re.compile(rf"(?:{STREET})\.?$"), re.compile(rf"{CAP} $"), re.compile(rf" {CAP}"), re.compile("[A-Z]+")
+
+
+def last_token(before: str) -> str:
+    """The last run of ASCII letters or digits, the last two Chinese characters or the last sign, in lower case; ^ for none."""
+    before = before.rstrip()
+    n = len(before)
+    if not n:
+        return "^"
+    ch = before[-1]
+    if "一" <= ch <= "鿿":
+        return before[-2:] if n > 1 and "一" <= before[-2] <= "鿿" else ch
+    if ch.isdecimal():
+        at = n - 1
+        while at and before[at - 1].isdecimal():
+            at -= 1
+        return before[at:]
+    if ch.isascii() and ch.isalpha():
+        at = n - 1
+        while at and before[at - 1].isascii() and before[at - 1].isalpha():
+            at -= 1
+        return before[at:].lower()
+    return "^" if ch.isalnum() or ch == "_" else ch
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, shape) of the segments that are considered."""
-    out = set()
+    out, open_ = set(), {}
     for kind, shape, pattern in SHAPES:
+        gate = shape.rstrip("01234")
+        if gate not in open_:
+            open_[gate] = GATES[gate].search(text) is not None
+        if not open_[gate]:
+            continue
         for m in pattern.finditer(text):
-            start, end = m.span(1) if shape.startswith("han") else m.span("s") if shape == "pair" else m.span()
+            start, end = m.span(1) if shape == "han" else m.span("s") if shape in ("pair", "cued") else m.span()
+            if shape == "cued" and not COMMON.isdisjoint(m["s"].split()):
+                continue
             if 0 < end - start <= LONGEST:
                 out.add((start, end, kind, shape))
-    for m in re.finditer(rf"(?<![\w.-]){CAP}(?: {CAP})+", text):  # pairs inside longer runs of capitalised words
-        spans = [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(CAP, m[0])]
-        out |= {(a[0], b[1], "person", "pair") for a, b in zip(spans, spans[1:], strict=False)}
+    if not text.isascii():
+        for m in HAN_NAME.finditer(text):
+            start, most = m.start(1), m.end(1) - m.start(1)
+            out |= {(start, start + n, "person", f"han{n}") for n in range(2 if text[start] in FAMILY else 3, most + 1)}
+    if open_["pair"]:
+        for m in RUN.finditer(text):  # pairs inside longer runs of capitalised words
+            spans = [(m.start() + w.start(), m.start() + w.end()) for w in CAP_WORD.finditer(m[0])]
+            out |= {(a[0], b[1], "person", "pair") for a, b in zip(spans, spans[1:], strict=False)}
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 
 def features(text: str, start: int, end: int, kind: str, shape: str) -> list[str]:
     """Features of the whole span with its surroundings."""
     span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 16]
-    b, a = BEFORE.search(before), AFTER.match(after)
-    left = b[1].lower() if b else "^"
-    right = a[1].lower() if a else "$"
+    a = AFTER.match(after)
+    left, right = last_token(before), a[1].lower() if a else "$"
     tail = before.split("\n")[-1]
     head = after.split("\n")[0]
-    digits = sum(c.isdigit() for c in span)
+    digits = sum(map(str.isdigit, span))
     k = f"{kind}:{shape}:"
     out = [k, f"{kind}<{left}", f"{kind}>{right}", f"{k}n{min(len(span), 40) // 3}", f"{k}d{digits}"]
-    words = re.findall(r"[A-Za-z]+", before)[-3:]
+    words = [w.lower() for w in LETTERS.findall(before)[-3:]]
     if len(words) > 1:
-        out.append(f"{kind}<<{' '.join(words[-2:]).lower()}")
-    out += [f"{kind}<~{w.lower()}" for w in words]
-    if re.search(rf"[{H}]$", before):
+        out.append(f"{kind}<<{words[-2]} {words[-1]}")
+    out += [f"{kind}<~{w}" for w in words]
+    if TAIL_HAN.search(before):
         out += [f"{kind}<h{before[-n:]}" for n in (1, 2, 3)]
-    if re.match(rf"[{H}]", after):
+    if HEAD_HAN.match(after):
         out += [f"{kind}>h{after[:n]}" for n in (1, 2)]
     if not tail.strip(" -*") and not head.strip(" .,;。"):
         out.append(f"{kind}=line")
-    if re.search(r"[|,⏎]\s*$", before) and re.match(r"\s*[|\n]", after) or re.search(r"\|\s*$", before) or (not tail.strip() and re.match(r"\s*\|", after)):
+    if CELL_LEFT.search(before) and CELL_RIGHT.match(after) or BAR_LEFT.search(before) or (not tail.strip() and BAR_RIGHT.match(after)):
         out.append(f"{kind}=cell")
-    m = re.search(r'"(\w+)":\s*"$', before)
+    m = KEY.search(before) if before.endswith('"') else None
     if m:
         out.append(f"{kind}=key:{m[1].lower()}")
     if kind in ("phone", "id_number"):
-        out.append(k + re.sub(r"\d+", lambda m: str(len(m[0])), span)[:24])
+        out.append(k + DIGITS.sub(lambda m: str(len(m[0])), span)[:24])
         if span[0] == "+":
             out.append(k + "+")
-        if re.match(r"(19|20)\d\d[-./]", span):
+        if YEAR.match(span):
             out.append(k + "year")
-        if re.match(rf"[ ]?(?:%|条|个|件|点|号|页|items|rows|pages|units|entries|cases|percent)", after):
+        if UNITS.match(after):
             out.append(k + "unit")
         if shape == "citizen":
-            out.append(k + ("date" if re.match(r"(19|20)\d\d(0[1-9]|1[0-2])([0-2]\d|3[01])", span[6:14]) else "nodate"))
+            out.append(k + ("date" if BIRTH.match(span[6:14]) else "nodate"))
     if shape == "han":
         cut = re.search("[市区]", span)
         out += [f"{k}first{span[0]}", f"{k}head{cut.start() if cut else -1}", k + "full" * ("市" in span and "区" in span)]
     if shape.startswith("street"):
         more = text[end : end + 48]
-        out.append(k + ("unit" if re.match(rf",? {UNIT}", more) else "code" if re.match(r",? (?:[A-Z]{2} )?\d{4,6}\b", more) else "place" if re.match(rf", {CAP}(?: {CAP})?(?: \d{{4,6}}|\s*[.,;。，；\n|\"]|$)", more) else "ends"))
+        out.append(k + ("unit" if UNIT_NEXT.match(more) else "code" if CODE_NEXT.match(more) else "place" if PLACE_NEXT.match(more) else "ends"))
     if kind == "person" and shape in ("pair", "turned", "capitals"):
-        low = [w.lower() for w in re.findall(CAP if shape != "capitals" else r"[A-Z]+", span)]
+        low = [w.lower() for w in (CAP_WORD if shape != "capitals" else CAPITALS).findall(span)]
         out += [k + "plain"] * any(w in PLAIN for w in low) + [k + "plain2"] * all(w in PLAIN for w in low)
-        if tail.strip(" -*") == "" or re.search(r"[.!?。！？:]\s*$", tail):
+        if tail.strip(" -*") == "" or STARTS.search(tail):
             out.append(k + "starts")
-        if re.search(rf"(?:{STREET})\.?$", span):
+        if STREET_END.search(span):
             out.append(k + "street")
-        if re.search(rf"{CAP} $", before) or re.match(rf" {CAP}", after):
+        if CAP_LEFT.search(before) or CAP_RIGHT.match(after):
             out.append(k + "inrun")
     return out
 
@@ -148,6 +205,11 @@ PLAIN = frozenset(
     "works wants keeps uses prefers decided concluded must send ship please cc write reach insurance identity number national number id monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
     "english german chinese french spanish python java markdown note notes chapter section page table figure part question answer what how when where why who which".split()
 )
+#: Words that do not stand in a name though they may follow a cue (fixed values).
+FUNCTION = frozenset("about after again all also always been before being but can could did do does done down each even ever few for from get gets had has have here how if into just keep keeps let like made make many may me might more most much must near never next now off often only or other out over own said same say says see she should since so some still such take tell than then there they they too under until up us use used uses very via wants was we went were which while who will with without would yet you".split())
+COMMON = PLAIN | FUNCTION
+#: Ordinary words that stand around names in the made-up sentences (fixed values).
+STRANGERS = "wrote asked told met saw called thanked invited joined left moved read sent showed helped answered before after during without whether because today yesterday tomorrow letter page draft note plan story photo lunch train garden winter spring meeting question parcel recipe and with for from by to about".split()
 
 
 class SemiCRF:
@@ -260,6 +322,9 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
                 return f"{name()}{pick(['straße', 'weg', 'gasse', 'allee'])} {r.randint(1, 99)}" + pick(["", f", 00{d(3)} {name()}"])
             street = f"{r.randint(1, 499)} {name()}{pick(['', ' ' + name(), ' Bank'])} {pick(['Street', 'St.', 'St', 'Road', 'Rd', 'Lane', 'Close', 'Avenue', 'Ave', 'Terrace'])}"
             return pick([street, f"Flat {r.randint(1, 40)}, {street}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}", f"{street}, {name()}", f"{street}, Apt {r.randint(1, 30)}{pick('ABC')}, {place()} 00{d(3)}", f"{street}, {place()}"])
+        if r.random() < 0.12:
+            cyrillic = lambda: "".join(pick("ба ве го да ил ка ле мо ни ор па ри со та ур фе ян".split()) for _ in range(r.randint(2, 3))).capitalize() + pick(["", "в", "н", "й"])
+            return pick([f"{name()} {pick(['de la', 'van', 'von', 'de', 'van der', 'Ní', 'al', 'di'])} {name()}", f"{name()}-{name()} {name()}", f"{cyrillic()} {cyrillic()}"])
         if r.random() < 0.35:
             if r.random() < 0.15:  # a family name of two characters, or two family names
                 return pick([pick(COMPOUND) + han(pick([1, 2])), pick(SURNAMES) + pick(SURNAMES) + han(2)])
@@ -271,7 +336,7 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
         "phone": ["call me on {}", "my number is {}", "tel {}", "mobile: {}", "text {} after six", "reach the desk at {}", "打我电话 {}", "手机号{}", "联系电话：{}", "有事拨 {} 找我", '"tel": "{}"'],
         "id_number": ["the form lists SSN {}", "ID no. {} is on page two", "insurance number {}", "identity number={}", "my national id is {}", "身份证号{}", "证件号码是 {}", "表格里填的身份证：{}", '"national_id": "{}"'],
         "address": ["I live at {}", "home address: {}", "the parcel goes to {}", "we meet at {}", "ship the printed copy to {}", "the office moved to {}", "我住在{}", "收件地址：{}", "打印件寄到{}", "办公室搬到{}", '"addr": "{}"'],
-        "person": ["my manager is {}", "please loop in {} on the draft", "cc {} when the import ends", "{} owns this vault", "the notes were taken by {}", "I share this folder with {}", "as {} said in the call", "{} asked for the summary", "记录人是{}", "我的同事{}负责这个仓库", "请抄送{}", "{}要这份结果", "{}说下周再看", "联系人：{}", '"name": "{}"'],
+        "person": ["my manager is {}", "please loop in {} on the draft", "cc {} when the import ends", "{} owns this vault", "the notes were taken by {}", "I share this folder with {}", "as {} said in the call", "contact {} or me", "cc {} on it", "meet {} at noon", "{} asked for the summary", "记录人是{}", "我的同事{}负责这个仓库", "请抄送{}", "{}要这份结果", "{}说下周再看", "联系人：{}", '"name": "{}"'],
     }
     decoys = [
         lambda: f"see ticket {d(3)}-{d(5)} from 20{r.randint(10, 26)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"order 20{d(2)}-{d(5)} has {d(3)} items", lambda: f"build {d(1)}.{d(3)}.{d(1)} runs on 10.0.{d(1)}.{d(1)}", lambda: f"the trace id is {d(15)}", lambda: f"ratio {d(3)}:{d(3)} from {d(5)}-{d(5)} units",
@@ -301,7 +366,17 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
                 s = pick(decoys)()
                 put(s[0].upper() + s[1:] if r.random() < 0.4 else s)
                 continue
-            if roll < 0.56:  # a row of a table, a signature
+            if roll < 0.48:  # people in lower case, and what they do
+                who, two = pick(CUES), [pick([low(), coined(), *"likes really tea enjoys walks asked kindly laughs bakes bread visits london fixed bikes plays chess sleeps well reads novels".split()]) for _ in range(2)]
+                put(f"{pick(['my', 'our', 'the', 'her'])} {who} ")
+                if r.random() < 0.5:
+                    x = f"{low()} {low()}"
+                    spans.append((len(text), len(text) + len(x), "person"))
+                    put(x + pick([" called", " said hello", " has a key", ""]))
+                else:
+                    put(" ".join(two))
+                continue
+            if roll < 0.58:  # a row of a table, a signature
                 put(pick(["\n", "\n\nRegards,\n", "\n\n此致\n", "\n\n-- \n", f"{d(3)} | ", "| "]))
                 sep = pick([" | ", "\n", " | "])
                 for n, kind in enumerate(r.sample(KINDS, r.randint(1, 4))):
@@ -313,6 +388,9 @@ def made_up(count: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int
                 continue
             kind = pick(KINDS)
             cue = pick(cues[kind])
+            if kind == "person" and r.random() < 0.3:  # a name among words that say nothing about it
+                some = lambda: " ".join(pick(STRANGERS) for _ in range(r.randint(1, 3)))
+                cue = pick([f"{some()} {{}} {some()}", f"{{}} {some()}", f"{some()} {{}}", f"{plain(r.randint(2, 5))}{{}}，{plain(3)}", f"{{}}{plain(3)}"])
             a, b = cue.split("{}")
             x = entity(kind)
             a = a[0].upper() + a[1:] if a and r.random() < 0.3 else a

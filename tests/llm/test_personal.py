@@ -80,3 +80,34 @@ def test_tables(spark):
     whole = {(r["row_id"], r["field"]): r["value"] for r in P.find(spark, P.values_of(m, c)).collect()}
     assert whole["1", "statement"] == "my address is [EMAIL]" and whole["1", "quote"] is None and whole[None, "quote"] == ""
     assert P.found(spark, m.limit(0), c.limit(0)).count() == 0
+
+
+#: Written by hand, in no template of the training data.
+FOREIGN = [
+    ("Could you contact Jean-Luc Picard before Friday?", ["Jean-Luc Picard"]),
+    ("Pieter van der Berg wrote this page in spring.", ["Pieter van der Berg"]),
+    ("Reply to s.okafor@mail.example or ring 020 7946 0123.", ["s.okafor@mail.example", "020 7946 0123"]),
+    ("Our dentist jane morrow moved to 14 Harbour Road, Oldtown.", ["jane morrow", "14 Harbour Road, Oldtown"]),
+    ("Letters go to P.O. Box 123, Oldtown from now on.", ["P.O. Box 123, Oldtown"]),
+    ("Письмо для Анны Смирновой лежит на столе.", ["Анны Смирновой"]),
+    ("Please ask Maria de la Cruz whether the vault syncs.", ["Maria de la Cruz"]),
+    ("请把周报发给王小明，他的手机号是13912345678。", ["王小明", "13912345678"]),
+    ("The release notes mention 300 pages and version 2.14.0.", []),
+    ("My sister uses the old index every day.", []),
+    ("Ticket 4711-20938 was closed on 2024-05-06.", []),
+    ("The manager is happy with the new export.", []),
+    ("在第三章里我们讨论了索引的结构。", []),
+]
+
+
+def test_sentences_of_no_template():
+    m = P.model()
+    hit = wrong = wanted = 0
+    for text, own in FOREIGN:
+        got = [text[s:e] for s, e, _ in m.decode(text)]
+        hit, wrong, wanted = hit + len(set(got) & set(own)), wrong + len(set(got) - set(own)), wanted + len(own)
+    assert hit / wanted >= 0.8 and hit / (hit + wrong) >= 0.8, (hit, wrong, wanted)
+
+
+def test_last_token():
+    assert [P.last_token(x) for x in ("", "  ", "a B", "x 12 ", "见张三", "三", "ok,", "é", "a_")] == ["^", "^", "b", "12", "张三", "三", ",", "^", "^"]
