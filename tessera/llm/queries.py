@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pack": lambda s, d: packing.pack(s, table(s, d, "documents")),
     "p6_report": lambda s, d: packing.report(packing.pack(s, table(s, d, "documents"))),
     "p8_found": lambda s, d: reading_level.found(s, table(s, d, "documents"), table(s, d, "reading_labels")),
-    "p8_levels": lambda s, d: reading_level.levels(s, table(s, d, "documents"), table(s, d, "reading_labels")),
+    "p8_levels": lambda s, d: reading_level.document_levels(s, table(s, d, "documents"), table(s, d, "reading_labels")),
     "p8_profile": lambda s, d: reading_level.profile(s, table(s, d, "documents"), table(s, d, "reading_labels")),
 }
 

@@ -13,9 +13,15 @@ Bounds: words are hashed to ITEMS slots, so difficulties are a vector of fixed s
 vocabulary; levels live on a grid. All documents and all ratings count; nothing is sampled.
 
 Only running prose counts: front matter, code, tables, headings, lists of values, dumps, quoted lines and longer quoted
-passages are left out. Documents whose prose is not mainly English get no level.
+passages are left out. ``levels`` has the documents whose prose is mainly English. ``document_levels`` has all documents: those
+in Chinese characters, and those in German or with no English word, have a model of their own language; as nobody rated them,
+their levels say where they stand among the documents of their language.
 
-Defined results: null and empty texts, and documents without English prose, have no row. Ratings that are null or not 1 to
+Words of one text are not independent, so n items count as n / (1 + n / CLUSTER) independent ones (the design effect of a
+clustered sample): evidence grows with every item, ever more slowly.
+
+Defined results: null and empty texts, and documents without prose, have no row in ``levels`` and a null level in
+``document_levels``. Ratings that are null or not 1 to
 5 are ignored, repeated ratings count once, raters without a name count as one rater; several ratings of a document enter
 by their median. Repeated doc_ids give one row each (p8_found is distinct). Without any rating the scale starts from mean
 word length and the cuts are equally spaced in standard deviations (-1.5, -0.5, 0.5, 1.5).
@@ -40,7 +46,8 @@ ITEMS = 1 << 18
 TRAITS = 64  # the first slots: traits of sentence building
 BLOCK = 1 << 12
 GRID = np.linspace(-4, 4, 161)
-ROUNDS = 4
+ROUNDS, SETTLED = 4, 0.005  # rounds at most; mean change of the difficulties at which they end
+CLUSTER = 400.0
 PRIOR, RATED_PRIOR, ITEM_PRIOR = 4.0, 40.0, 8.0
 TRAIT_WEIGHT = 3
 CROWD = 0.5
@@ -105,8 +112,18 @@ def slot(word: str) -> int:
 
 def items_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Slots and counts of the document's items; None without mainly English prose."""
+    lang, items, counts = items_in(text)
+    return (items, counts) if lang == "en" else None
+
+
+EMPTY = np.empty(0, np.int32)
+
+
+def items_in(text: str | None, others: bool = False) -> tuple[str | None, np.ndarray, np.ndarray]:
+    """Language (en, zh, or xx for others), slots and counts of the document's items; no language without prose. Items of
+    other languages than English are counted if asked for."""
     if not text:
-        return None
+        return None, EMPTY, EMPTY
     lines = prose(text)
     found, traits = [], Counter()
     for line in lines:
@@ -120,17 +137,29 @@ def items_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
             traits[16 + min(sum(map(len, own)) * 2 // n, 31) % 32] += TRAIT_WEIGHT
             traits[48 + min(part.count(","), 7)] += TRAIT_WEIGHT
     if not found:
-        return None
+        return None, EMPTY, EMPTY
     whole = Counter(found)
     han = len(HAN_CHAR.findall("".join(lines)))
     english, german = sum(whole[w] for w in ENGLISH if w in whole), sum(whole[w] for w in GERMAN if w in whole)
-    if han > 1.6 * len(found) or german > english or (english == 0 and han > 0):
-        return None
+    lang = "zh" if han > 1.6 * len(found) or (english == 0 and han > 0) else "xx" if german > english else "en"
+    if lang != "en" and not others:
+        return lang, EMPTY, EMPTY
+    if lang == "zh":
+        traits, whole = Counter(), Counter()
+        for line in lines:
+            for part in SENTENCE.split(line):
+                own = "".join(HAN_CHAR.findall(part))
+                if own:
+                    traits[16 + min(len(own) // 3, 31)] += TRAIT_WEIGHT
+                    traits[48 + min(part.count("，") + part.count("、"), 7)] += TRAIT_WEIGHT
+                    whole.update(own[i : i + 2] for i in range(len(own) - 1))
     counts = Counter(traits)
     for w, n in whole.items():
-        if len(w) > 1 and not HAN_CHAR.search(w):
+        if len(w) > 1 and (lang == "zh" or not HAN_CHAR.search(w)):
             counts[slot(w)] += n
-    return np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+    if not counts:
+        return None, EMPTY, EMPTY
+    return lang, np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -139,16 +168,20 @@ def ratings(labels: DataFrame) -> DataFrame:
     return valid.groupBy(F.col("doc_id").alias("rated_id")).agg(F.percentile("level", 0.5).alias("rating"))
 
 
-def counted(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, items, counts (packed), rating of the English documents; texts are read once and go no further."""
+def counted(spark: SparkSession, documents: DataFrame, labels: DataFrame, others: bool = False) -> DataFrame:
+    """doc_id, items, counts (packed), rating of the English documents, or with ``others`` doc_id, lang, … of all documents;
+    texts are read once and go no further."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *(x.tobytes() for x in got)) for k, t in zip(frame["doc_id"], frame["text"], strict=True) if (got := items_of(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "items", "counts"])
+            got = [(k, *items_in(t, others)) for k, t in zip(frame["doc_id"], frame["text"], strict=True)]
+            rows = [(k, lang, items.tobytes(), counts.tobytes()) for k, lang, items, counts in got if others or lang == "en"]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "items", "counts"])
 
-    slim = documents.where("text IS NOT NULL AND text <> ''").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, items binary, counts binary")
+    texts = documents.select("doc_id", "text")
+    slim = (texts if others else texts.where("text IS NOT NULL AND text <> ''")).mapInPandas(run, f"doc_id {kind}, lang string, items binary, counts binary")
+    slim = slim if others else slim.drop("lang")
     rated = ratings(labels)
     return cut(spark, slim.join(rated, slim["doc_id"] == rated["rated_id"], "left").drop("rated_id"), "reading")
 
@@ -207,12 +240,12 @@ def _estimate(model: Model, frame: pd.DataFrame, rated: bool) -> tuple[np.ndarra
     mean = np.add.reduceat(counts * model.difficulty[items], starts) / size
     rating = frame["rating"].to_numpy(float, na_value=np.nan)
     known = ~np.isnan(rating) & rated
-    size = np.minimum(size, 400)  # words of one text are not independent: more than so many add no certainty
+    size = size / (1 + size / CLUSTER)
     return model.levels(mean, size, np.where(known, rating - 3, 0.0), np.where(known, RATED_PRIOR, PRIOR)), own
 
 
 def fit(spark: SparkSession, table: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Alternate ``rounds`` times. Each round returns ITEMS / BLOCK packed rows and one histogram to the driver."""
+    """Alternate until the difficulties have settled, ``rounds`` times at most. Each round returns ITEMS / BLOCK packed rows and one histogram to the driver."""
     model, any_rated = Model(), table.where("rating IS NOT NULL").limit(1).count() > 0
     for n in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -264,7 +297,10 @@ def fit(spark: SparkSession, table: DataFrame, rounds: int = ROUNDS) -> Model:
                 moment[block * BLOCK : (block + 1) * BLOCK], total[block * BLOCK : (block + 1) * BLOCK] = own.reshape(2, -1)
         if total.sum() == 0:
             break
+        before = model.difficulty
         model.fit_items(moment, total, weight)
+        if n and np.abs(model.difficulty - before) @ total < SETTLED * total.sum():
+            break
     return model
 
 
@@ -317,12 +353,30 @@ def levels(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Data
     return scored.select("doc_id", F.round("theta", 4).alias("theta"), level.cast("int").alias("level"))
 
 
+def document_levels(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, theta and level of every document (see the module's text)."""
+    table = counted(spark, documents, labels, others=True)
+    out = table.where("lang IS NULL").select("doc_id", "lang", F.lit(None).cast("double").alias("theta"), F.lit(None).cast("int").alias("level"))
+    for lang in ("en", "zh", "xx"):
+        own = table.where(F.col("lang") == lang).drop("lang")
+        own = own if lang == "en" else own.withColumn("rating", F.lit(None).cast("double"))
+        scored = score(spark, own, fit(spark, own))
+        if lang == "en":
+            at = cuts(scored)
+        else:
+            about = scored.agg(F.avg("theta").alias("m"), F.stddev_pop("theta").alias("s")).first()
+            at = [(about["m"] or 0.0) + z * (about["s"] or 1.0) for z in (-1.5, -0.5, 0.5, 1.5)]
+        level = F.lit(1) + sum(F.when(F.col("theta") >= c, 1).otherwise(0) for c in at)
+        out = out.unionByName(scored.select("doc_id", F.lit(lang).alias("lang"), F.round("theta", 4).alias("theta"), level.cast("int").alias("level")))
+    return out
+
+
 def found(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """p8_found: the documents at level 4 or 5."""
     return levels(spark, documents, labels).where("level >= 4").select("doc_id").distinct()
 
 
 def profile(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The corpus by source and level: documents and mean theta."""
-    own = levels(spark, documents, labels)
-    return own.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("theta"), 4).alias("theta"))
+    """The corpus by source, language and level: documents and mean theta."""
+    own = document_levels(spark, documents, labels)
+    return own.join(documents.select("doc_id", "source").distinct(), "doc_id").groupBy("source", "lang", "level").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("theta"), 4).alias("theta"))

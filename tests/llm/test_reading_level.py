@@ -61,3 +61,23 @@ def test_accuracy_on_rated_documents(spark):
     held = R.ratings(labels.where("doc_id % 2 = 1"))
     rows = scored.drop("rating").join(held, scored["doc_id"] == held["rated_id"]).collect()
     assert np.mean([(r["theta"] >= cut) == (r["rating"] >= 3.5) for r in rows]) > 0.9
+
+
+def test_every_document_has_a_row(spark):
+    docs, labels = corpus(spark)
+    more = [(1000 + i, t, "x") for i, t in enumerate(["猫在家。狗也在家。天很好。", "现象学的还原要求我们悬置自然态度，从而把意识的构成活动作为反思的对象，进而揭示意义的先验来源。", "Die Katze ist im Haus und das Kind ist nicht da.", "12 34"])]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = R.document_levels(spark, docs, labels).collect()
+    assert len(got) == docs.count()
+    by = {r["doc_id"]: (r["lang"], r["level"]) for r in got}
+    assert [by[k][0] for k in (1000, 1001, 1002, 1003, 902, 903, 906)] == ["zh", "zh", "xx", None, None, None, None]
+    assert all((level is None) == (lang is None) for lang, level in by.values())
+    english = {r["doc_id"]: r["level"] for r in R.levels(spark, docs, labels).collect()}
+    assert {k: v[1] for k, v in by.items() if v[0] == "en"} == english
+
+
+def test_evidence_grows_without_a_bound():
+    model = R.Model()
+    model.difficulty[100], model.slope = 1.0, np.linspace(-1, 1, len(R.GRID))
+    at = [model.levels(np.array([0.9]), np.array([n / (1 + n / R.CLUSTER)]), np.zeros(1), np.array([R.PRIOR]))[0] for n in (50, 400, 4000, 40000)]
+    assert at == sorted(at) and at[-1] > at[-2] > at[1]
