@@ -5,11 +5,10 @@ order, rare ones first (by document frequency over all records, then hash). A re
 order; tokens rarer than RARE are indexed one by one, the frequent ones are divided into classes and indexed by pairs from
 one class, which are far rarer than either token. Combinations weaken a prefix: of each pair class one matching token may
 stay without a partner, so the prefix is extended until its *gain* (rare tokens, and all but the first of each pair class)
-exceeds the number of tokens that may be missing, by MEET. Two records similar enough then share MEET signatures:
+exceeds the number of tokens that may be missing. Two records similar enough then share a signature:
 
-    let x and y be similar, and x's prefix end first in the order; at most e(x) of x's tokens are not in y, and each takes one
-    off the gain; so of a gain of e(x) + MEET a gain of MEET is left in y, and being early enough, in y's prefix; a rare token
-    is one signature, m tokens of a class are at least m - 1. (Records of few tokens have no such gain: half their size.)
+    let x and y be similar, and x's prefix end first in the order; at most e(x) of x's tokens are not in y; so of a gain of
+    e(x) + 1 at least one rare token, or two tokens of one class, are in y, and being early enough, in y's prefix.
 
 For a smaller record e = n - ceil(overlap) with overlap >= 2n/3 at threshold 1/2 (the partner is no smaller), for a larger
 one e = n - n/2. A signature is marked *inner* if it lies in the shorter prefix; the smaller record's must be.
@@ -22,8 +21,7 @@ Candidates are bounded above without their sets (Hamming distance of parity bitm
 Execution. Records are packed into batches (numpy arrays in binary columns), so that tokens move as a few bytes each:
   1 tokenise once; write batches and memberships to the shared folder; of the batches that hold a set, the first keeps it
   2 document frequency: distinct tokens per batch with counts, summed by hash range, answered as one byte per token
-  3 signatures per batch, regrouped by hash range (some bytes each: nothing else of a record is copied into its ranges); the
-    meetings of pairs are counted over all ranges, and those with enough meetings checked against the bitmap bound
+  3 signatures per batch, regrouped by hash range; candidates that pass the bitmap bound
   4 verify: the token sets of candidate records only (each batch is told which of its records are asked for)
 Equal sets are one class: they collapse within each batch, then over all batches (16 bytes a set are shuffled), before anything
 is counted, so a hot group of copies weighs as one record. Frequencies are summed before the shuffle, so a hot token costs
@@ -50,21 +48,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.words import C1, WordHashes, mix, shingle_hashes, words
+from tessera.llm.words import C1, hashes_of_texts, mix, shingle_hashes
 from tessera.session import cut, scratch_path
 
 SHINGLE, THRESHOLD = 3, 0.5
-MEET = 4  # signatures that two similar records share at least
 RARE = 6  # tokens in at most so many records are indexed singly
 EXPAND = 32  # exact copies of one text that are paired in full
 SPREAD = 16  # parts of a large class that are paired in different tasks
 HOT = 8192  # records of a signature that are paired in one block
-RANGE_TOKENS = 2_000_000  # tokens of a hash range
+RANGE_TOKENS, LEAST_RANGES = 6_000_000, 6  # tokens of a hash range; ranges of a small table
 BATCH_DOCS, BATCH_TOKENS = 16384, 1_500_000
 TOKEN_BITS = 44
-TIERS = [(0, 40, 0)] + [(40 * 8**k, 40 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
+TIERS = [(0, 34, 0)] + [(34 * 8**k, 34 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
 TIERS[-1] = (TIERS[-1][0], 1 << 60, TIERS[-1][2])
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE, CHARS_AT_ONCE = 1_000_000, 1_000_000
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -136,34 +133,37 @@ def _flush(task: int, number: int, held: list[tuple[int, np.ndarray]]) -> tuple:
     return (None, None, None, None, (task << 20) + number, squeeze_sorted(u), squeeze_places(inverse), squeeze(sizes), squeeze(np.array([h for h, _ in held], np.uint64)), int(sizes.sum()))
 
 
-def sets_of_frame(frame: pd.DataFrame, hashes: WordHashes, seeds: dict[str, np.uint64], shingle: int) -> Iterator[tuple[str, str, int, int, np.ndarray]]:
-    """(tbl, id, set hash, text hash, sorted tokens) of the rows that have tokens; the runs of all rows are hashed and sorted at once."""
-    own = [hashes(words(t)) for t in frame["text"]]
-    sizes = np.array([len(x) for x in own])
-    if sizes.sum() < shingle:
-        return
+def sets_of_frame(frame: pd.DataFrame, seeds: dict[str, np.uint64], shingle: int, at_once: int = CHARS_AT_ONCE) -> Iterator[tuple[str, str, int, int, np.ndarray]]:
+    """(tbl, id, set hash, text hash, sorted tokens) of the rows that have tokens; the runs of ``at_once`` characters of text
+    are found, hashed and sorted together."""
+    tbls, ids, texts = frame["tbl"].to_numpy(), frame["id"].to_numpy(), frame["text"].tolist()
     for tbl in frame["tbl"].unique():
         if tbl not in seeds:
-            seeds[tbl] = hashes([f"table {tbl}"])[0]
-    row = np.repeat(np.arange(len(own)), sizes)
-    runs = shingle_hashes(np.concatenate(own), shingle)
-    row = row[: len(runs)]
-    within = row == np.repeat(np.arange(len(own)), sizes)[shingle - 1 :]
-    row, runs = row[within].astype(np.uint64), runs[within]
-    if not len(runs):
-        return
-    seed = np.array([seeds[t] for t in frame["tbl"]], np.uint64)
-    with np.errstate(over="ignore"):
-        runs = mix(runs + seed[row.astype(np.int64)]) >> np.uint64(64 - TOKEN_BITS)
-        key = np.unique((row << np.uint64(TOKEN_BITS)) | runs)
-        row, token = (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
-        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        ends = np.append(starts[1:], len(row))
-        # the table's seed is in the tokens, so equal texts of two tables are different sets
-        h = mix(np.add.reduceat(mix(token), starts) + (ends - starts).astype(np.uint64) * C1)
-    tbls, ids, texts = frame["tbl"].to_numpy(), frame["id"].to_numpy(), frame["text"].to_numpy()
-    for k, s, e in zip(h.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        yield tbls[row[s]], ids[row[s]], k, xxh64_intdigest(texts[row[s]]), token[s:e]
+            seeds[tbl] = np.uint64(xxh64_intdigest(f"table {tbl}"))
+    seed = np.array([seeds[t] for t in tbls], np.uint64)
+    ends = np.cumsum([len(t) for t in texts])
+    edges = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(at_once, int(ends[-1]) if len(ends) else 0, at_once)) + 1, [len(texts)])))
+    for first, last in zip(edges.tolist(), edges.tolist()[1:], strict=False):
+        hashes, sizes = hashes_of_texts(texts[first:last])
+        if len(hashes) < shingle:
+            continue
+        row = np.repeat(np.arange(first, last), sizes)
+        runs = shingle_hashes(hashes, shingle)
+        within = row[: len(runs)] == row[shingle - 1 :]
+        row, runs = row[: len(runs)][within], runs[within]
+        if not len(runs):
+            continue
+        with np.errstate(over="ignore"):
+            runs = mix(runs + seed[row]) >> np.uint64(64 - TOKEN_BITS)
+            key = np.sort(((row - first).astype(np.uint64) << np.uint64(TOKEN_BITS)) | runs)
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            row, token = (key >> np.uint64(TOKEN_BITS)).astype(np.int64) + first, key & np.uint64((1 << TOKEN_BITS) - 1)
+            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            stops = np.append(starts[1:], len(row))
+            # the table's seed is in the tokens, so equal texts of two tables are different sets
+            h = mix(np.add.reduceat(mix(token), starts) + (stops - starts).astype(np.uint64) * C1)
+        for r, k, s, e in zip(row[starts].tolist(), h.tolist(), starts.tolist(), stops.tolist(), strict=True):
+            yield tbls[r], ids[r], k, xxh64_intdigest(texts[r]), token[s:e]
 
 
 def signed(h: int) -> int:
@@ -188,12 +188,12 @@ def batches(records: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Memberships (tbl, id, h, x) and batches, as rows of one table; ``h`` is the hash of the set, ``x`` that of the text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, task, number = WordHashes(), TaskContext.get().partitionId(), 0
+        task, number = TaskContext.get().partitionId(), 0
         held: dict[int, np.ndarray] = {}
         total, seeds = 0, {}
         for frame in frames:
             members = []
-            for tbl, key, h, x, own in sets_of_frame(frame, hashes, seeds, shingle):
+            for tbl, key, h, x, own in sets_of_frame(frame, seeds, shingle):
                 members.append((tbl, key, signed(h), signed(x), signed(xxh64_intdigest(key))))  # the last spreads them over the buckets
                 if h not in held:
                     held[h] = own
@@ -307,8 +307,8 @@ def coded_signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes:
     starts = np.cumsum(sizes) - sizes
     out: list[tuple[np.ndarray, ...]] = []
     n_all = sizes.astype(np.int64)
-    inner_need = n_all - -(-2 * n_all // 3) + MEET
-    outer_need = n_all - -(-n_all // 2) + MEET
+    inner_need = n_all - -(-2 * n_all // 3) + 1
+    outer_need = n_all - -(-n_all // 2) + 1
     for tier, (low, high, classes) in enumerate(TIERS):
         mine = (n_all >= low) & (n_all < 2 * high)
         if not mine.any():
@@ -350,12 +350,12 @@ def coded_signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, bool), np.empty(0, np.uint8))
 
 
-SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary"
+SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary, sets binary, maps binary"
 
 
 def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
-    """Per batch and hash range: its signatures with the records they belong to, and those records' sizes. Within its range a
-    signature keeps 32 bits: a range holds some million, and false meetings only add to a count."""
+    """Per batch and hash range: its signatures with the records they belong to, and those records' sizes and bitmaps.
+    Within its range a signature keeps 32 bits: a range holds some million, and false meetings fail the bitmap bound."""
     ranges = len(keys)
     lows = np.array([r * (1 << 64) // ranges for r in range(ranges)], np.uint64)
     shift = np.uint64(max(0, ((1 << 64) // ranges).bit_length() - 32))
@@ -368,6 +368,7 @@ def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
                     continue
                 code = np.concatenate([stretch(x, np.uint8) for x in row.codes])
                 sig, rec, kind = in_blocks(*coded_signatures(u, code, places, sizes), sets)
+                maps, offsets, widths = bitmaps(u[places], sizes)
                 order = np.argsort(sig)
                 sig, rec, kind = sig[order], rec[order], kind[order]
                 edges = np.append(np.searchsorted(sig, lows), len(sig))
@@ -376,7 +377,7 @@ def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
                     if s == e:
                         continue
                     docs, local = np.unique(rec[s:e], return_inverse=True)
-                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze(own[docs].astype(np.uint32)), squeeze(sizes[docs]))], columns=["r", "batch", "sig", "rec", "docs", "sizes"])
+                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze(own[docs].astype(np.uint32)), squeeze(sizes[docs]), squeeze(sets[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "sets", "maps"])
 
     return joined.mapInPandas(run, SENT)
 
@@ -405,21 +406,24 @@ def passing(a: np.ndarray, b: np.ndarray, n: np.ndarray, maps: np.ndarray, offse
     return ok
 
 
-def meetings(sent: DataFrame, keys: list[int]) -> DataFrame:
-    """ga and gb (batch and place of the records) of the pairs that meet in as many signatures as similar ones do."""
+def candidates(sent: DataFrame) -> DataFrame:
+    """ga, gb (batch and place of the records), ha, hb (their sets): pairs that share a signature and pass the bounds."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch")
-        sigs, recs, gids, sizes, base = [], [], [], [], 0
+        sigs, recs, gids, sizes, sets, maps, base = [], [], [], [], [], [], 0
         for row in frame.itertuples():
             docs = stretch(row.docs, np.uint32)
             sigs.append(stretch_sorted(row.sig).astype(np.uint32))
             recs.append(stretch(row.rec, np.uint32) + np.uint32(4 * base))
             gids.append((np.int64(row.batch) << 15) + docs.astype(np.int64))
             sizes.append(stretch(row.sizes, np.int32))
+            sets.append(stretch(row.sets, np.uint64))
+            maps.append(np.frombuffer(row.maps, np.uint64))
             base += len(docs)
         del frame
-        gid, n = np.concatenate(gids), np.concatenate(sizes)
+        gid, n, h, m = (np.concatenate(x) for x in (gids, sizes, sets, maps))
+        del gids, sizes, sets, maps
         sig = np.concatenate(sigs)
         del sigs
         order = np.arange(len(sig), dtype=np.uint64)  # signature and place in one number, sorted in its place
@@ -431,6 +435,9 @@ def meetings(sent: DataFrame, keys: list[int]) -> DataFrame:
         rec = np.concatenate(recs)[(order & np.uint64(0xFFFFFFFF))[met].astype(np.uint32)]
         sig = sig[met]
         del recs, order, same, met
+        n = n.astype(np.int32)
+        width = bitmap_widths(n)
+        offset = np.cumsum(width) - width
         rec, kind = (rec >> np.uint32(2)).astype(np.int32), (rec & np.uint32(3)).astype(np.uint8)
         key = (sig.astype(np.uint64) << np.uint64(32)) | (n[rec].astype(np.uint64) << np.uint64(2)) | kind  # by signature, size and kind
         del sig, kind
@@ -445,98 +452,45 @@ def meetings(sent: DataFrame, keys: list[int]) -> DataFrame:
         left, first, length = np.concatenate([own, own]), np.concatenate([own + 1, larger]), np.concatenate([same - own - 1, end - larger])
         some = length > 0
         left, first, length = left[some], first[some], length[some]
-        out, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        out: list[np.ndarray] = []
         edges = np.concatenate(([0], np.cumsum(length)))
         at = 0
         while at < len(left):  # as many records at once as make PAIRS_AT_ONCE pairs; a single one is bounded by its block
             stop = max(at + 1, int(np.searchsorted(edges, edges[at] + PAIRS_AT_ONCE, "right")) - 1)
-            i, j = np.repeat(left[at:stop], length[at:stop]), spans(first[at:stop], length[at:stop])
-            x, y = rec[i], rec[j]
-            once = (x != y) & (((key[j] & np.uint64(3)) != 1) | (n[x] != n[y]) | (gid[x] < gid[y]))  # two inner records of one size own each other in two blocks
-            x, y = x[once], y[once]
-            pair, k = np.unique(np.minimum(x, y).astype(np.int64) * len(gid) + np.maximum(x, y), return_counts=True)
-            out.append(pair)
-            counts.append(k)
+            x, y = rec[np.repeat(left[at:stop], length[at:stop])], rec[spans(first[at:stop], length[at:stop])]
+            fits = h[x] != h[y]
+            x, y = x[fits], y[fits]
+            pair = np.unique(np.minimum(x, y).astype(np.int64) * len(gid) + np.maximum(x, y))
+            x, y = pair // len(gid), pair % len(gid)
+            good = passing(x, y, n, m, offset, width)
+            out.append(pair[good])
             at = stop
-        pair, k = summed(np.concatenate(out), np.concatenate(counts))
+        pair = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
         x, y = pair // max(1, len(gid)), pair % max(1, len(gid))
-        need = np.minimum(MEET, (np.minimum(n[x], n[y]) + 1) // 2)
-        a, b = np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y])
-        to = (mix(a.view(np.uint64) + mix(b.view(np.uint64))) % np.uint64(len(keys))).astype(np.int64)
-        order = np.lexsort((b, a, to))
-        a, b, k, need, to = (v[order] for v in (a, b, k, need, to))
-        ends = np.searchsorted(to, np.arange(len(keys) + 1))
-        rows = [(keys[q], squeeze_sorted(a[s:e].view(np.uint64)), squeeze(b[s:e]), squeeze(np.minimum(k[s:e], 255).astype(np.uint8)), squeeze(need[s:e].astype(np.uint8))) for q, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s]
-        return pd.DataFrame(rows, columns=["r", "a", "b", "k", "need"])
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.concatenate([stretch_sorted(x) for x in frame["a"]]).view(np.int64), np.concatenate([stretch(x, np.int64) for x in frame["b"]])
-        k, need = (np.concatenate([stretch(x, np.uint8) for x in frame[c]]).astype(np.int64) for c in ("k", "need"))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        enough = starts[np.add.reduceat(k[order], starts) >= need[order][starts]]
-        return pd.DataFrame({"ga": a[enough], "gb": b[enough]})
-
-    counted = sent.groupBy("r").applyInPandas(run, "r int, a binary, b binary, k binary, need binary")
-    return counted.groupBy("r").applyInPandas(count, "ga long, gb long")
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys with the sums of their counts."""
-    u, at = np.unique(keys, return_inverse=True)
-    return u, np.bincount(at, counts, len(u)).astype(np.int64)
-
-
-def asked_for(packed: DataFrame, pairs: DataFrame, columns: str, give) -> DataFrame:
-    """The rows that ``give`` makes of the records that ``pairs`` names; each batch is told its own, at most BATCH_DOCS."""
-    asked = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).groupBy(F.shiftright("g", 15).alias("b")).agg(F.collect_set("g").alias("asked"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                u, places, sizes, sets = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64)
-                g = np.sort(np.asarray(row.asked, np.int64))
-                d = g & 0x7FFF
-                yield give(g, u[places[spans((np.cumsum(sizes) - sizes)[d], sizes[d])]], sizes[d], sets[d])
+        swap = h[x].view(np.int64) > h[y].view(np.int64)
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return pd.DataFrame({"ga": gid[x], "gb": gid[y], "ha": h[x].view(np.int64), "hb": h[y].view(np.int64)})
 
-    return packed.select("batch", "tokens", "places", "sizes", "sets").join(asked, F.col("batch") == F.col("b")).mapInPandas(run, columns)
-
-
-def candidates(packed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ga, gb and ha, hb (their sets) of the pairs that pass the bitmap bound."""
-
-    def give(g: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> pd.DataFrame:
-        maps, offsets, widths = bitmaps(tokens, sizes)
-        return pd.DataFrame({"g": g, "h": sets.view(np.int64), "n": sizes, "m": [maps[o : o + w].tobytes() for o, w in zip(offsets.tolist(), widths.tolist(), strict=True)]})
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                maps = np.frombuffer(b"".join([*frame["ma"], *frame["mb"]]), np.uint64)
-                n = np.concatenate([frame["na"], frame["nb"]]).astype(np.int32)
-                width = bitmap_widths(n)
-                at = np.arange(len(frame))
-                yield frame.loc[passing(at, at + len(frame), n, maps, np.cumsum(width) - width, width), ["ga", "gb", "ha", "hb"]]
-
-    about = asked_for(packed, pairs, "g long, h long, n int, m binary", give)
-    joined = pairs.join(about.withColumnsRenamed({x: f"{x}a" for x in "ghnm"}), "ga").join(about.withColumnsRenamed({x: f"{x}b" for x in "ghnm"}), "gb")
-    found = joined.select("ga", "gb", "ha", "hb", "na", "nb", "ma", "mb").mapInPandas(check, "ga long, gb long, ha long, hb long").where("ha <> hb")
-    turned = F.col("ha") > F.col("hb")
-    return found.select(*[F.when(turned, y).otherwise(F.col(x)).alias(x) for x, y in (("ga", F.col("gb")), ("gb", F.col("ga")), ("ha", F.col("hb")), ("hb", F.col("ha")))])
+    found = sent.groupBy("r").applyInPandas(run, "ga long, gb long, ha long, hb long")
+    return found.groupBy("ha", "hb").agg(F.min(F.struct("ga", "gb")).alias("g")).select("ha", "hb", "g.*")
 
 
 # ---- 4 verification
 
 
-def verified(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(spark: SparkSession, packed: DataFrame, pairs: DataFrame) -> DataFrame:
     """ha, hb and similarity of the candidate pairs that are similar enough."""
+    asked = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).groupBy(F.shiftright("g", 15).alias("b")).agg(F.collect_set("g").alias("asked"))  # at most BATCH_DOCS
 
-    def give(g: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, _: np.ndarray) -> pd.DataFrame:
-        ends = np.cumsum(sizes)
-        return pd.DataFrame({"g": g, "s": [squeeze_sorted(np.sort(tokens[e - n : e])) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]})
+    def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                u, places, sizes = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32)
+                ends = np.cumsum(sizes)
+                own = [(int(g), int(g) & 0x7FFF) for g in row.asked]
+                yield pd.DataFrame([(g, squeeze_sorted(u[np.sort(places[ends[d] - sizes[d] : ends[d]])])) for g, d in own], columns=["g", "s"])
 
-    sets = asked_for(packed, pairs, "g long, s binary", give)
+    sets = packed.select("batch", "tokens", "places", "sizes").join(asked, F.col("batch") == F.col("b")).mapInPandas(sets_of, "g long, s binary")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -571,12 +525,11 @@ def similar_sets(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, Da
     packed = stored.where("total IS NOT NULL")
     members = stored.where("total IS NULL").select("tbl", "id", "h", "x").distinct()
     total = packed.agg(F.sum("total")).first()[0] or 0
-    keys = range_keys(spark, max(1, -(-total // RANGE_TOKENS)))
+    keys = range_keys(spark, max(LEAST_RANGES, -(-total // RANGE_TOKENS)))
     own = packed.select("batch", "tokens", "places", "sizes", "sets").join(repeated(spark, packed), F.col("batch") == F.col("b"), "left").drop("b")
     joined = own.join(frequencies(own, keys), F.col("batch") == F.col("b")).drop("b")
-    met = cut(spark, meetings(send_signatures(joined, keys), keys), "meetings")
-    pairs = cut(spark, candidates(packed, met), "candidates")
-    return members, verified(packed, pairs)
+    pairs = cut(spark, candidates(send_signatures(joined, keys)), "candidates")
+    return members, verified(spark, packed, pairs)
 
 
 def image_records(blocks: DataFrame, images: DataFrame) -> DataFrame:

@@ -39,6 +39,39 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Of every code point: 0 separates, 1 is part of a word, 2 is a word of its own. Built once per process."""
+    if not _kinds:
+        own = np.fromiter((chr(c).isalnum() for c in range(0x110000)), np.uint8, 0x110000)
+        ends = re.findall(r"(.)(?:-(.))?", HAN, re.S)
+        for low, high in ends:
+            own[ord(low) : ord(high or low) + 1] = 2
+        _kinds.append(own)
+    return _kinds[0]
+
+
+def hashes_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts one after another, and how many each text has; equal in every process. The
+    characters of all texts are handled together: a word's hash is the mixed sum of its (character, place) hashes."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[codes]
+    at = np.flatnonzero(kind)
+    kind, codes = kind[at], codes[at]
+    if not len(at):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    begins = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (kind[1:] == 2) | (kind[:-1] == 2)))
+    starts = np.flatnonzero(begins)
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    with np.errstate(over="ignore"):
+        hashes = mix(np.add.reduceat(mix((codes.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)), starts) + C2)
+    ends = np.cumsum([len(t) + 1 for t in low])
+    return hashes, np.diff(np.searchsorted(at[starts], ends, "left"), prepend=0)
+
+
 class WordHashes:
     """64-bit hashes of words, equal in every process, kept per worker in a table that is emptied when it gets large."""
 
