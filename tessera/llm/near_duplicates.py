@@ -350,7 +350,7 @@ def coded_signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, bool), np.empty(0, np.uint8))
 
 
-SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary, sets binary, maps binary"
+SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary, maps binary"
 
 
 def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
@@ -377,7 +377,7 @@ def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
                     if s == e:
                         continue
                     docs, local = np.unique(rec[s:e], return_inverse=True)
-                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze(own[docs].astype(np.uint32)), squeeze(sizes[docs]), squeeze(sets[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "sets", "maps"])
+                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze(own[docs].astype(np.uint32)), squeeze(sizes[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "maps"])
 
     return joined.mapInPandas(run, SENT)
 
@@ -407,23 +407,22 @@ def passing(a: np.ndarray, b: np.ndarray, n: np.ndarray, maps: np.ndarray, offse
 
 
 def candidates(sent: DataFrame) -> DataFrame:
-    """ga, gb (batch and place of the records), ha, hb (their sets): pairs that share a signature and pass the bounds."""
+    """ga < gb (batch and place of the records): pairs that share a signature and pass the bounds."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch")
-        sigs, recs, gids, sizes, sets, maps, base = [], [], [], [], [], [], 0
+        sigs, recs, gids, sizes, maps, base = [], [], [], [], [], 0
         for row in frame.itertuples():
             docs = stretch(row.docs, np.uint32)
             sigs.append(stretch_sorted(row.sig).astype(np.uint32))
             recs.append(stretch(row.rec, np.uint32) + np.uint32(4 * base))
             gids.append((np.int64(row.batch) << 15) + docs.astype(np.int64))
             sizes.append(stretch(row.sizes, np.int32))
-            sets.append(stretch(row.sets, np.uint64))
             maps.append(np.frombuffer(row.maps, np.uint64))
             base += len(docs)
         del frame
-        gid, n, h, m = (np.concatenate(x) for x in (gids, sizes, sets, maps))
-        del gids, sizes, sets, maps
+        gid, n, m = (np.concatenate(x) for x in (gids, sizes, maps))
+        del gids, sizes, maps
         sig = np.concatenate(sigs)
         del sigs
         order = np.arange(len(sig), dtype=np.uint64)  # signature and place in one number, sorted in its place
@@ -458,7 +457,7 @@ def candidates(sent: DataFrame) -> DataFrame:
         while at < len(left):  # as many records at once as make PAIRS_AT_ONCE pairs; a single one is bounded by its block
             stop = max(at + 1, int(np.searchsorted(edges, edges[at] + PAIRS_AT_ONCE, "right")) - 1)
             x, y = rec[np.repeat(left[at:stop], length[at:stop])], rec[spans(first[at:stop], length[at:stop])]
-            fits = h[x] != h[y]
+            fits = x != y
             x, y = x[fits], y[fits]
             pair = np.unique(np.minimum(x, y).astype(np.int64) * len(gid) + np.maximum(x, y))
             x, y = pair // len(gid), pair % len(gid)
@@ -467,12 +466,9 @@ def candidates(sent: DataFrame) -> DataFrame:
             at = stop
         pair = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
         x, y = pair // max(1, len(gid)), pair % max(1, len(gid))
-        swap = h[x].view(np.int64) > h[y].view(np.int64)
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return pd.DataFrame({"ga": gid[x], "gb": gid[y], "ha": h[x].view(np.int64), "hb": h[y].view(np.int64)})
+        return pd.DataFrame({"ga": np.minimum(gid[x], gid[y]), "gb": np.maximum(gid[x], gid[y])})
 
-    found = sent.groupBy("r").applyInPandas(run, "ga long, gb long, ha long, hb long")
-    return found.groupBy("ha", "hb").agg(F.min(F.struct("ga", "gb")).alias("g")).select("ha", "hb", "g.*")
+    return sent.groupBy("r").applyInPandas(run, "ga long, gb long").distinct()
 
 
 # ---- 4 verification
@@ -485,12 +481,12 @@ def verified(spark: SparkSession, packed: DataFrame, pairs: DataFrame) -> DataFr
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                u, places, sizes = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32)
+                u, places, sizes, sets = stretch_sorted(row.tokens), stretch_places(row.places), stretch(row.sizes, np.int32), stretch(row.sets, np.uint64).view(np.int64)
                 ends = np.cumsum(sizes)
                 own = [(int(g), int(g) & 0x7FFF) for g in row.asked]
-                yield pd.DataFrame([(g, squeeze_sorted(u[np.sort(places[ends[d] - sizes[d] : ends[d]])])) for g, d in own], columns=["g", "s"])
+                yield pd.DataFrame([(g, int(sets[d]), squeeze_sorted(u[np.sort(places[ends[d] - sizes[d] : ends[d]])])) for g, d in own], columns=["g", "h", "s"])
 
-    sets = packed.select("batch", "tokens", "places", "sizes").join(asked, F.col("batch") == F.col("b")).mapInPandas(sets_of, "g long, s binary")
+    sets = packed.select("batch", "tokens", "places", "sizes", "sets").join(asked, F.col("batch") == F.col("b")).mapInPandas(sets_of, "g long, h long, s binary")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -501,11 +497,11 @@ def verified(spark: SparkSession, packed: DataFrame, pairs: DataFrame) -> DataFr
                 y = known[b] if b in known else known.setdefault(b, stretch_sorted(b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= THRESHOLD * (len(x) + len(y) - both):
-                    rows.append((ha, hb, both / (len(x) + len(y) - both)))
+                    rows.append((min(ha, hb), max(ha, hb), both / (len(x) + len(y) - both)))
             yield pd.DataFrame(rows, columns=["ha", "hb", "similarity"])
 
-    one = pairs.join(sets.withColumnsRenamed({"g": "ga", "s": "sa"}), "ga")
-    return one.join(sets.withColumnsRenamed({"g": "gb", "s": "sb"}), "gb").select("ha", "hb", "sa", "sb").mapInPandas(compare, "ha long, hb long, similarity double")
+    one = pairs.join(sets.withColumnsRenamed({"g": "ga", "h": "ha", "s": "sa"}), "ga")
+    return one.join(sets.withColumnsRenamed({"g": "gb", "h": "hb", "s": "sb"}), "gb").select("ha", "hb", "sa", "sb").mapInPandas(compare, "ha long, hb long, similarity double")
 
 
 # ---- the operator
