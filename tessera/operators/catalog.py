@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.containment import containing
 
 HEADINGS = 64
 
@@ -25,9 +26,16 @@ def search(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     e = blocks.where("source_type = 'document' AND coalesce(heading_path, '') <> ''").select("doc_id", "heading_path").distinct()
     e = e.withColumns({"term": T.catalog_text(F.element_at(T.heading_parts(F.col("heading_path")), -1)), "h": T.catalog_text(F.col("heading_path"))})
     labels = e.groupBy("term", "h").agg(F.countDistinct(F.concat("doc_id", F.lit("\x1f"), "heading_path")).alias("n"))
+    labels = labels.withColumn("lid", F.xxhash64("term", "h"))
     q = questions.select(F.col("id").alias("query_id"), T.catalog_text(F.col("question")).alias("q"))
+    ask = q.select(F.col("query_id").alias("hid"), F.col("q").alias("text"))
+    own = labels.select(F.col("lid").alias("nid"), F.explode(F.array("term", "h")).alias("needle")).distinct()
+    pairs = containing(own, ask).select(F.col("nid").alias("lid"), F.col("hid").alias("query_id"))
+    heads = labels.select(F.col("lid").alias("hid"), F.col("h").alias("text"))
+    pairs = pairs.unionByName(containing(q.select(F.col("query_id").alias("nid"), F.col("q").alias("needle")), heads).select(F.col("hid").alias("lid"), F.col("nid").alias("query_id"))).distinct()
     score = F.when(F.col("term") == F.col("q"), 1000).when((F.length("term") >= 4) & F.contains("q", "term"), 800).when(F.contains("q", "h") | F.contains("h", "q"), 400).otherwise(0)
-    return q.join(labels, score > 0).select("query_id", score.alias("score"), "n").groupBy("query_id", "score").agg(F.sum("n").alias("entries"))
+    scored = pairs.join(labels, "lid").join(q, "query_id").select("query_id", score.alias("score"), "n").where("score > 0")
+    return scored.groupBy("query_id", "score").agg(F.sum("n").alias("entries"))
 
 
 def read_window(blocks: DataFrame, offset: int, limit: int) -> DataFrame:

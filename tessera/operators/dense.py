@@ -16,15 +16,23 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 
 
+def checked(queries: DataFrame, vector: str, dim: int) -> DataFrame:
+    """``queries``, failing where a vector is null, empty, zero, not finite or of another dimension than ``dim``."""
+    v = F.col(vector)
+    good = v.isNotNull() & (F.size(v) == dim) & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return queries.where(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit(f"a query vector is not usable: {dim} finite numbers, not all zero, are needed")).cast("boolean")))
+
+
 def top_k(spark: SparkSession, rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
-    """query, key, similarity (cosine, 6 decimals), rank; ties by key. Null, empty, zero and non-finite vectors, and such of another dimension than the queries, have no hits."""
+    """query, key, similarity (cosine, 6 decimals), rank; ties by key. Null, empty, zero and non-finite vectors, and such of another dimension than the queries (that of most of them), have no hits; ``checked`` refuses such queries."""
     usable = queries.where(F.col(query_vector).isNotNull() & (F.size(query_vector) > 0)).select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"))
     blocks = max(1, -(-usable.count() // block))
     kind, qkind = rows.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    first = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = first["d"] if first else 0
     out = None
     for n in range(blocks):
         own = usable.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n).collect()
-        dim = len(own[0]["v"]) if own else 0
         own = [r for r in own if len(r["v"]) == dim]
         ids = [r["q"] for r in own]
         m = np.array([r["v"] for r in own], float).reshape(len(own), dim)

@@ -115,7 +115,7 @@ def rescue() -> Column:
 def gate(fused: DataFrame, blocks: DataFrame) -> DataFrame:
     """Adds text, noise, rescue and the reason of the decision."""
     texts = blocks.groupBy("block_id").agg(F.first("text", ignorenulls=True).alias("text"))
-    f = fused.join(texts, "block_id").withColumns({"noise": T.numeric_noise(F.col("text")), "rescue": rescue()})
+    f = fused.join(texts, "block_id").withColumns({"noise": T.numeric_noise(F.col("text"))} | ({} if "rescue" in fused.columns else {"rescue": rescue()}))
     c, sim, lex = F.col, F.col("dense_similarity"), F.col("lexical_rank")
     strong = (c("informative_matched_terms") >= 3) & (c("informative_coverage") >= LONG_COVERAGE) & (c("rarity") >= 0.60) & (c("anchor_matched_terms") >= 1)
     least = F.lit(MIN_SIMILARITY) + F.when(lex.isNull(), DENSE_ONLY).otherwise(0.0) + F.when(c("noise"), NUMERIC).otherwise(0.0)

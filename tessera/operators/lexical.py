@@ -66,11 +66,12 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     }).drop("anchor_terms")
 
 
-def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = 50) -> DataFrame:
+def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = 50, only: DataFrame | None = None) -> DataFrame:
     """The ``k`` best records of every query with score, rank and the evidence the gates use; ties by key.
 
     Only the postings of the queries' terms are kept, in a table that the scores, their document frequencies and the corpus
-    statistics are all read from. Document frequencies and lengths cover all records.
+    statistics are all read from. Document frequencies and lengths cover all records; hits are those among ``only`` (its key), if given,
+    and ranks count those.
     """
     spark = records.sparkSession
     q = cut(spark, query_terms(queries, query_key, query_text), "query_terms")
@@ -78,7 +79,7 @@ def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_ke
     stats = counts.where(F.col("term") == RECORD).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = counts.where(F.col("term") != RECORD)
     idf = with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats).select("term", "idf", "n", "avgdl")
-    hits = postings.join(q, "term").join(idf, "term")
+    hits = (postings if only is None else postings.join(only.select(key), key, "left_semi")).join(q, "term").join(idf, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     max_idf = F.log(1 + (F.col("n") - 0.5) / 0.5)
     scored = hits.groupBy(query_key, key).agg(

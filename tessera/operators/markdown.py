@@ -30,6 +30,7 @@ EMPHASIS = re.compile(r"(\*\*|__|~~|`)(.+?)\1")
 ROW = re.compile(r"^\s*\|.*\|\s*$")
 DIVIDER = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
 NOISE = [re.compile(r"^(?:#[\w/-]+\s*)+$"), re.compile(r"^(?:https?://\S+\s*)+$"), re.compile(r"^[\W_]*$")]
+CONTENT_HEADING = re.compile(r"https?://\S+|^[^:：]{1,40}[:：]\s*\S+")
 SENTENCE = re.compile(r"[^。！？.!?；;\n]*[。！？.!?；;\n]+|[^。！？.!?；;\n]+$")
 
 
@@ -233,20 +234,25 @@ def fit(text: str, most: int) -> list[str]:
 
 
 def chunks_of(text: str | None, most: int = MAX_CHARS, least: int = MIN_CHARS) -> list[dict]:
-    """Chunks of a document in order: seq, kind (text, table, code, image), heading_path, anchor, text, src.
+    """Chunks of a document in order: seq, kind (text, table, code, image), heading_path, anchor, text, src, block_id, aliases.
 
     Under every heading prose comes first, then images, then code; prose, lists and quotes are packed up to ``most``
     characters; tables and code are never mixed with prose; a prose chunk under ``least`` is merged with its neighbour of
-    the same heading where both fit.
+    the same heading where both fit. A heading that is content (an address, a label with its value) is part of its text. Then
+    prose chunks of neighbouring headings with one parent are merged where one is under ``least`` and both fit, each
+    under its heading's name; their paths are the chunk's aliases. Ids are made of the levels and anchors of the headings and
+    a number within them.
     """
-    regions: list[dict] = [{"path": [], "anchor": None, "blocks": []}]
-    stack: list[tuple[int, str]] = []
+    regions: list[dict] = [{"path": [], "anchor": None, "blocks": [], "id": ""}]
+    stack: list[tuple[int, str, str]] = []
     for b in blocks_of(text):
         if b["kind"] == "heading":
             while stack and stack[-1][0] >= b["level"]:
                 stack.pop()
-            stack.append((b["level"], b["text"]))
-            regions.append({"path": [t for _, t in stack], "anchor": b["anchor"], "blocks": []})
+            stack.append((b["level"], b["text"], b["anchor"]))
+            regions.append({"path": [t for _, t, _ in stack], "anchor": b["anchor"], "blocks": [], "id": "".join(f"/H{level}/{anchor}" for level, _, anchor in stack)})
+            if CONTENT_HEADING.search(b["text"]):
+                regions[-1]["blocks"].append({"kind": "text", "text": b["text"]})
         elif b["kind"] != "frontmatter":
             regions[-1]["blocks"].append(b)
     out: list[dict] = []
@@ -274,12 +280,29 @@ def chunks_of(text: str | None, most: int = MAX_CHARS, least: int = MIN_CHARS) -
         close()
         own += [("image", b["text"], b["src"]) for b in region["blocks"] if b["kind"] == "image"]
         own += [("code", p, None) for b in region["blocks"] if b["kind"] == "code" for p in pack([q for line in b["text"].split("\n") for q in fit(line, most) or [line]], "\n", most)]
-        for kind, body, src in own:
-            out.append({"seq": len(out), "kind": kind, "heading_path": " > ".join(region["path"]), "anchor": region["anchor"], "text": body, "src": src})
-    return out
+        for n, (kind, body, src) in enumerate(own):
+            out.append({"seq": len(out), "kind": kind, "heading_path": " > ".join(region["path"]), "anchor": region["anchor"], "text": body, "src": src, "block_id": f"{region['id']}#{n}", "aliases": [], "path": region["path"]})
+    return siblings(out, most, least)
+
+
+def siblings(chunks: list[dict], most: int, least: int) -> list[dict]:
+    """Neighbouring prose chunks of different headings with one parent, merged where one is short and both fit."""
+    out: list[dict] = []
+    for c in chunks:
+        a = out[-1] if out else None
+        near = a is not None and a["kind"] == c["kind"] == "text" and c["path"] and a["last"] != c["path"] and len(a["last"]) == len(c["path"]) and a["last"][:-1] == c["path"][:-1]
+        if near and min(a["own"], len(c["text"])) < least:
+            first = a["text"] if a["aliases"] else f"【{a['last'][-1]}】\n{a['text']}"
+            text = f"{first}\n\n【{c['path'][-1]}】\n{c['text']}"
+            if len(text) <= most:
+                aliases = [*(a["aliases"] or [a["heading_path"]]), c["heading_path"]]
+                a |= {"text": text, "aliases": aliases, "heading_path": " > ".join(c["path"][:-1]) or a["heading_path"], "last": c["path"], "own": len(c["text"])}
+                continue
+        out.append(c | {"last": c["path"], "own": len(c["text"])})
+    return [{k: v for k, v in c.items() if k not in ("last", "own", "path")} | {"seq": n} for n, c in enumerate(out)]
 
 
-CHUNKS = "seq int, kind string, heading_path string, anchor string, chunk string, src string, error string"
+CHUNKS = "seq int, kind string, heading_path string, anchor string, chunk string, src string, error string, block_id string, aliases array<string>"
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", html: bool = False, most: int = MAX_CHARS, least: int = MIN_CHARS) -> DataFrame:
@@ -290,10 +313,10 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ht
             rows = []
             for k, t in zip(frame["k"], frame["t"], strict=True):
                 try:
-                    rows += [(k, c["seq"], c["kind"], c["heading_path"], c["anchor"], c["text"], c["src"], None) for c in chunks_of(html_to_markdown(t) if html else t, most, least)]
+                    rows += [(k, c["seq"], c["kind"], c["heading_path"], c["anchor"], c["text"], c["src"], None, c["block_id"], c["aliases"]) for c in chunks_of(html_to_markdown(t) if html else t, most, least)]
                 except Exception as e:  # noqa: BLE001 - one document must not end the job
-                    rows.append((k, None, None, None, None, None, None, type(e).__name__))
-            out = pd.DataFrame(rows, columns=[key, "seq", "kind", "heading_path", "anchor", "chunk", "src", "error"])
+                    rows.append((k, None, None, None, None, None, None, type(e).__name__, None, None))
+            out = pd.DataFrame(rows, columns=[key, *(c.split()[0] for c in CHUNKS.split(", "))])
             yield out.astype({"seq": "Int32"})
 
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))

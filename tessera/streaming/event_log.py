@@ -45,3 +45,38 @@ def once(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
 def windows(events: DataFrame, time: str, size: str, delay: str, *by: str) -> DataFrame:
     """Counts per window; a window is emitted when the watermark has passed its end."""
     return events.withWatermark(time, delay).groupBy(F.window(time, size), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tail(events: DataFrame, run: str, seq: str, kind: str, offset: int, terminal: list[str]) -> DataFrame:
+    """``run``, ``seq`` and ``kind`` of a stream of numbered events after ``offset``, each once however often it is delivered, in
+    order within a micro-batch, up to the run's first terminal event. The state of a run is its last number and whether it ended;
+    events that arrive below the last number are taken as delivered before."""
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (run, seq, kind)}
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, ended = state.get if state.exists else (offset, False)
+        own = pd.concat(list(frames)).drop_duplicates(seq).sort_values(seq)
+        out = []
+        for s, t in zip(own[seq], own[kind], strict=True):
+            if not ended and s > last:
+                out.append((k[0], s, t))
+                last, ended = int(s), t in terminal
+        state.update((last, ended))
+        yield pd.DataFrame(out, columns=[run, seq, kind])
+
+    return events.groupBy(run).applyInPandasWithState(step, f"{run} {kinds[run]}, {seq} {kinds[seq]}, {kind} {kinds[kind]}", "last long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(spark: SparkSession, root: str, table: str, checkpoint: str, key: str, rows, pattern: str = "*.md") -> DataFrame:
+    """Take up the new files below ``root`` once: each micro-batch of files becomes rows (``rows`` of path and text) that are merged
+    into the keyed table under the batch's number, so a batch that is repeated after a crash changes nothing. Returns the table."""
+    from tessera.sources import files
+
+    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        texts = batch.where(~F.col("path").rlike(r"/\.")).select("path", files.decoded(F.col("content")).alias("text"))
+        files.write_keyed(batch.sparkSession, rows(texts), table, key, f"b{number}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return files.read_keyed(spark, table)
