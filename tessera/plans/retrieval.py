@@ -244,7 +244,7 @@ def rerank_answers(spark: SparkSession, d: str) -> DataFrame:
     return rerank.answered(r, a)
 
 
-@query("rerank_window", f"{HITS}, t AS (SELECT query_id, block_id, rank, (length(text) + 1) // 2 AS tokens FROM hit JOIN cb USING (block_id)), s AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank, block_id ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank, block_id) AS n FROM t) SELECT query_id, block_id AS candidate_id FROM s WHERE total <= 3000 OR n <= 3")
+@query("rerank_window", f"{HITS}, tk AS (SELECT query_id, block_id, rank, (length(text) + 1) // 2 AS tokens FROM hit JOIN cb USING (block_id)), sm AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank, block_id ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank, block_id) AS n FROM tk) SELECT query_id, block_id AS candidate_id FROM sm WHERE total <= 3000 OR n <= 3")
 def rerank_window(spark: SparkSession, d: str) -> DataFrame:
     """The candidates that fit 3,000 tokens together (two characters a token), three at least."""
     c = hits(spark, d).join(about(spark, d).select("block_id", F.expr("(length(text) + 1) div 2").alias("tokens")), "block_id").select("query_id", F.col("rank").alias("rrf_rank"), F.col("block_id").alias("candidate_id"), "tokens")
@@ -328,18 +328,18 @@ def relevance_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.report(measured(spark, d), "family", "even")
 
 
-@query("quality_gate", f"""{GRADES}, w AS (SELECT *, level = 'all' AS whole FROM rp WHERE level IN ('all', 'family')),
-    f AS (SELECT level, value, array_to_string(list_filter([CASE WHEN whole AND unjudged > 0 THEN 'unjudged' END, CASE WHEN coalesce(precision_macro < CASE WHEN whole THEN 0.9 ELSE 0.85 END, whole) THEN 'precision' END, CASE WHEN coalesce(recall_macro < CASE WHEN whole THEN 0.95 ELSE 0.9 END, whole) THEN 'recall' END, CASE WHEN whole AND hard_negative_rate > 0.05 THEN 'hard_negatives' END, CASE WHEN whole AND coalesce(empty_false_context > 0, true) THEN 'empty_false_context' END], lambda x: x IS NOT NULL), '+') AS failed FROM w)
-    SELECT level, value, failed = '' AS passes, failed FROM f""")
+@query("quality_gate", f"""{GRADES}, wh AS (SELECT *, level = 'all' AS whole FROM rp WHERE level IN ('all', 'family')),
+    fl AS (SELECT level, value, array_to_string(list_filter([CASE WHEN whole AND unjudged > 0 THEN 'unjudged' END, CASE WHEN coalesce(precision_macro < CASE WHEN whole THEN 0.9 ELSE 0.85 END, whole) THEN 'precision' END, CASE WHEN coalesce(recall_macro < CASE WHEN whole THEN 0.95 ELSE 0.9 END, whole) THEN 'recall' END, CASE WHEN whole AND hard_negative_rate > 0.05 THEN 'hard_negatives' END, CASE WHEN whole AND coalesce(empty_false_context > 0, true) THEN 'empty_false_context' END], lambda x: x IS NOT NULL), '+') AS failed FROM wh)
+    SELECT level, value, failed = '' AS passes, failed FROM fl""")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     """Whether the whole and every family pass the gate, and what failed."""
     return quality.gate(quality.report(measured(spark, d), "family"), "family")
 
 
-@query("retrieval_bench", f"""WITH {S.DOC_TOKENS}, {S.STATS}, {S.POSTINGS}, {S.QUERIES_SQL}, {S.SCORED}, tg AS (SELECT DISTINCT q.query_id, d.doc_id FROM (SELECT id AS query_id, unnest(evidence).snippet AS s FROM eval_questions) q JOIN documents d ON contains(d.text, q.s)), w AS (SELECT query_id, count(*) AS targets FROM tg GROUP BY query_id),
-    h AS (SELECT r.query_id, r.k, r.rank, content_hash, tg.doc_id IS NOT NULL AS rel FROM r JOIN documents d ON d.doc_id = r.k LEFT JOIN tg ON r.query_id = tg.query_id AND r.k = tg.doc_id WHERE rank <= 8),
-    p AS (SELECT query_id, min(rank) FILTER (rel) AS first, count(*) FILTER (rel) AS found, count(*) AS n, count(DISTINCT content_hash) AS texts, sum(CASE WHEN rel THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg FROM h GROUP BY query_id)
-    SELECT w.query_id, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(dcg / list_sum(list_transform(generate_series(1, least(targets, 8)), lambda i: 1 / log2(i + 1.0))), 0), 6) AS ndcg, round(coalesce(found / least(targets, 8), 0), 6) AS evidence, round(coalesce(1 - found / n, 0), 6) AS pollution, round(coalesce(1 - texts / n, 0), 6) AS duplicates FROM w LEFT JOIN p USING (query_id)""")
+@query("retrieval_bench", f"""WITH {S.DOC_TOKENS}, {S.STATS}, {S.POSTINGS}, {S.QUERIES_SQL}, {S.SCORED}, tg AS (SELECT DISTINCT q.query_id, d.doc_id FROM (SELECT id AS query_id, unnest(evidence).snippet AS s FROM eval_questions) q JOIN documents d ON contains(d.text, q.s)), wt AS (SELECT query_id, count(*) AS targets FROM tg GROUP BY query_id),
+    ht AS (SELECT r.query_id, r.k, r.rank, content_hash, tg.doc_id IS NOT NULL AS rel FROM r JOIN documents d ON d.doc_id = r.k LEFT JOIN tg ON r.query_id = tg.query_id AND r.k = tg.doc_id WHERE rank <= 8),
+    pq AS (SELECT query_id, min(rank) FILTER (rel) AS first, count(*) FILTER (rel) AS found, count(*) AS n, count(DISTINCT content_hash) AS texts, sum(CASE WHEN rel THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg FROM ht GROUP BY query_id)
+    SELECT wt.query_id, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(dcg / list_sum(list_transform(generate_series(1, least(targets, 8)), lambda i: 1 / log2(i + 1.0))), 0), 6) AS ndcg, round(coalesce(found / least(targets, 8), 0), 6) AS evidence, round(coalesce(1 - found / n, 0), 6) AS pollution, round(coalesce(1 - texts / n, 0), 6) AS duplicates FROM wt LEFT JOIN pq USING (query_id)""")
 def retrieval_bench(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal rank, nDCG, evidence, pollution and duplicates of the first eight documents of every question with evidence."""
     docs, qs = table(spark, d, "documents"), table(spark, d, "eval_questions")
