@@ -134,10 +134,10 @@ def gate(fused: DataFrame, blocks: DataFrame) -> DataFrame:
     return f.withColumn("reason", reason)
 
 
-def fallback(gated: DataFrame, most: int = 3) -> DataFrame:
+def fallback(gated: DataFrame, most: int = 3, terms: int = 3, deepest: int = 5, vetoes: list[str] = VETOES) -> DataFrame:
     """The strong lexical candidates of queries that have no accepted one."""
     none = gated.groupBy("query_id").agg(F.count_if(F.startswith("reason", F.lit("accepted"))).alias("n")).where("n = 0").select("query_id")
-    ok = F.col("rescue") & (F.col("informative_matched_terms") >= 3) & (F.col("anchor_matched_terms") >= 1) & (F.col("lexical_rank") <= 5) & ~F.col("reason").isin(VETOES)
+    ok = F.col("rescue") & (F.col("informative_matched_terms") >= terms) & (F.col("anchor_matched_terms") >= 1) & (F.col("lexical_rank") <= deepest) & ~F.col("reason").isin(vetoes)
     w = Window.partitionBy("query_id").orderBy("rrf_rank")
     return gated.join(none, "query_id", "left_semi").where(ok).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
 

@@ -161,6 +161,6 @@ def page_window(pages: DataFrame, offset: int, limit: int) -> DataFrame:
     before = F.substring("text", 1, offset)
     heads = lambda k: F.regexp_extract_all(F.concat(F.lit("\n"), before, F.lit("\n")), F.lit(rf"\n#{{{k}}} +([^\n]*\S)"), 1)
     last = lambda k: F.when(F.size(heads(k)) > 0, F.element_at(heads(k), -1))
-    at = lambda k: F.when(F.size(heads(k)) > 0, F.length(F.substring_index(F.concat(F.lit("\n"), before), F.concat(F.lit("\n" + "#" * k + " "), last(k)), -1)))  # noqa: E731 - characters after it
+    at = lambda k: F.when(F.size(heads(k)) > 0, F.length(F.call_function("substring_index", F.concat(F.lit("\n"), before), F.concat(F.lit("\n" + "#" * k + " "), last(k)), F.lit(-1))))  # noqa: E731 - characters after it
     kept = [F.when(last(k).isNotNull() & F.coalesce(*[F.when(at(j) < at(k), F.lit(False)) for j in range(1, k)], F.lit(True)), last(k)) for k in range(1, 4)]
     return pages.select("page_id", part.alias("part"), n.alias("characters"), (n <= offset + limit).alias("complete"), F.when(n > offset + limit, F.lit(offset + limit)).alias("next"), F.array_join(F.filter(F.array(*kept), lambda h: h.isNotNull()), " > ").alias("heading_path"))
