@@ -141,7 +141,7 @@ def gap_disclosed(paragraph: Column, missing: Column) -> Column:
 def numbers_equal(a: Column, b: Column) -> Column:
     """Whether two stated numbers may be the same: equal, equal when rounded to the fewer places, a hundred times the other
     (per cent), or, where both have places, within one per cent."""
-    x, y = a.cast("double"), b.cast("double")
+    x, y = a.try_cast("double"), b.try_cast("double")
     places = lambda c: F.length(F.regexp_extract(c, r"\.(\d+)$", 1))
     fewer = F.pow(F.lit(10.0), F.least(places(a), places(b)))
     rounded = F.round(x * fewer) == F.round(y * fewer)
@@ -163,11 +163,12 @@ def compact_context(c: Column, most: int = 400) -> Column:
 def image_facts(c: Column, dropped: tuple[str, ...] = ("context", "上下文", "背景")) -> Column:
     """The sections of a picture's description that were observed: headed parts, without those of context, without empty ones,
     each once; the whole text if it has no headings."""
-    parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?m)^(?=#{1,6}\s)"), lambda p: F.trim(p) != "")
+    bare = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?m)^(?=#{1,6}\s)"), lambda p: bare(p) != "")
     head = lambda p: F.lower(F.trim(F.regexp_extract(p, r"^#{1,6}\s+([^\n]*)", 1)))
-    body = lambda p: F.trim(F.regexp_replace(p, r"^#{1,6}\s+[^\n]*\n?", ""))
+    body = lambda p: bare(F.regexp_replace(p, r"^#{1,6}\s+[^\n]*\n?", ""))
     kept = F.filter(parts, lambda p: ~head(p).isin([d.lower() for d in dropped]) & (body(p) != ""))
-    return F.array_join(F.array_distinct(F.transform(kept, F.trim)), "\n\n")
+    return F.array_join(F.array_distinct(F.transform(kept, bare)), "\n\n")
 
 
 def image_summary(c: Column, most: int = 600) -> Column:
@@ -185,7 +186,7 @@ def document_title(text: Column) -> Column:
     """The title of the front matter, else the first heading of the first level that is not empty, else null."""
     head = F.regexp_extract(text, r"\A﻿?---[ \t]*\n((?s).*?)\n---", 1)
     named = F.trim(F.regexp_replace(F.regexp_extract(head, r"(?m)^title:[ \t]*(.*)$", 1), "^[\"']|[\"']$", ""))
-    first = F.trim(F.regexp_extract(text, r"(?m)^# +([^\n]*\S)[ \t]*#*$", 1))
+    first = F.trim(F.regexp_extract(text, r"(?m)^# +([^\n]*[^\s#])[ \t]*#*[ \t]*$", 1))
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(first, F.lit("")))
 
 
@@ -206,10 +207,9 @@ def embedding_query(question: Column, model: str) -> Column:
 
 def focused_offset(text: Column, terms: Column, width: int) -> Column:
     """The start (from 0) of the window of ``width`` characters with the most different terms, the first of equal ones; windows
-    begin at the terms' places, moved back by a quarter. Without a hit 0."""
+    begin at every quarter of the width. Without a hit 0."""
     low = F.lower(text)
-    at = F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)
-    starts = F.array_sort(F.array_distinct(F.transform(at, lambda p: F.greatest(p - 1 - width // 4, F.lit(0)))))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(max(1, width // 4)))
     hits = lambda s: F.size(F.filter(terms, lambda t: F.instr(F.substr(low, s + 1, F.lit(width)), t) > 0))
     best = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("s")), lambda a, s: F.when(hits(s) > a["n"], F.struct(hits(s).alias("n"), s.cast("int").alias("s"))).otherwise(a))
     return best["s"]

@@ -32,7 +32,7 @@ def identity(category: Column, statement: Column) -> Column:
 def confidence(c: Column) -> Column:
     """A number clamped to 0..1; null if it is none."""
     n = c.try_cast("double")
-    return F.when(~F.isnan(n), F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0)))
+    return F.when(n.isNotNull() & ~F.isnan(n), F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0)))
 
 
 def upsert(current: DataFrame, changes: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:

@@ -126,11 +126,14 @@ def tool_catalog(spark: SparkSession, d: str) -> DataFrame:
     return N.tool_catalog(table(spark, d, "blocks"))
 
 
-@query("scope_resolution")
+@query("scope_resolution", rf"""WITH t AS (SELECT doc_id, regexp_replace(list_last(string_split(path, '/')), '\.(?:md|markdown|mdx|txt)$', '', 'i') AS title FROM documents WHERE path IS NOT NULL), n AS (SELECT DISTINCT doc_id, {NORM('title')} AS title FROM t WHERE length({NORM('title')}) >= 2), q AS (SELECT doc_id AS query_id, {NORM("'What does ' || title || ' say about it?'")} AS q FROM t)
+    SELECT query_id, min(doc_id) AS doc_id FROM q JOIN n ON contains(q.q, n.title) GROUP BY query_id HAVING count(DISTINCT doc_id) = 1""")
 def scope_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """The one document a question names, by its title (three rules in order; tested on cases)."""
+    """The one document that a question names: here a question for each title (quoted parts and shared characters, the other two
+    rules, are tested on cases)."""
     titles = table(spark, d, "documents").where("path IS NOT NULL").select("doc_id", N.stem(F.col("path")).alias("title"))
-    return N.resolve_scope(S.questions(spark, d), titles)
+    asked = titles.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("What does "), "title", F.lit(" say about it?")).alias("question"))
+    return N.resolve_scope(asked, titles)
 
 
 # ---- hybrid search

@@ -175,15 +175,6 @@ def lexical_fallback(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fallback(fusion.gate(fusion.fuse(b, questions(spark, d)), b)).select("query_id", "block_id", "rrf_rank")
 
 
-@query("lexical_fallback_forced", f"""WITH {GATED} SELECT query_id, block_id, rrf_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_rank) AS n FROM g1 WHERE NOT starts_with(reason, 'accepted')
-    AND rescue AND informative_matched_terms >= 2 AND anchor_matched_terms >= 1 AND lexical_rank <= 15 AND reason NOT IN ('rejected_lexical_only_missing_anchor', 'rejected_numeric_noise_below_threshold')) WHERE n <= 3""")
-def lexical_fallback_forced(spark: SparkSession, d: str) -> DataFrame:
-    """The fallback as if the gate had accepted nothing, with wider limits (lexical_fallback's find nothing here)."""
-    b = table(spark, d, "blocks")
-    gated = fusion.gate(fusion.fuse(b, questions(spark, d)), b).where(~F.startswith("reason", F.lit("accepted")))
-    return fusion.fallback(gated, 3, 2, 15, ["rejected_lexical_only_missing_anchor", "rejected_numeric_noise_below_threshold"]).select("query_id", "block_id", "rrf_rank")
-
-
 @query("select_context")
 def select_context(spark: SparkSession, d: str) -> DataFrame:
     """The final rows of every question under the quotas (order-dependent: no SQL)."""

@@ -59,7 +59,7 @@ def history_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return m.select("message_id", history.excerpt(F.col("content"), F.array(F.lit("glossary"), F.lit("budget"))).alias("excerpt"))
 
 
-SUMMARIES = f"""{ONCE}, su AS (SELECT conversation_id, count(*) AS message_count, max(created_at) AS updated_at, max(sequence) AS last_sequence, substring(trim(regexp_replace(arg_min(content, row(sequence IS NULL, sequence, message_id)) FILTER (lower(trim(role)) IN ('user', 'human', '用户') AND content IS NOT NULL), '\\s+', ' ', 'g')), 1, 30) AS title FROM m WHERE conversation_id IS NOT NULL GROUP BY conversation_id)"""
+SUMMARIES = f"""{ONCE}, su AS (SELECT conversation_id, count(*) AS message_count, max(created_at) AS updated_at, max(sequence) AS last_sequence, substring(trim(regexp_replace(arg_min(content, row(sequence IS NULL, sequence, message_id)) FILTER (lower(trim(role)) IN ('user', 'human', '用户') AND content IS NOT NULL), '\\s+', ' ', 'g'), ' '), 1, 30) AS title FROM m WHERE conversation_id IS NOT NULL GROUP BY conversation_id)"""
 
 
 @query("conversation_sidebar", f"WITH {SUMMARIES} SELECT conversation_id, message_count, title, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, last_sequence DESC NULLS LAST, conversation_id) AS place FROM su WHERE message_count >= 3")
@@ -146,7 +146,7 @@ def memory_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("memory_upsert", """WITH b AS (SELECT *, sha256(category || chr(0) || trim(regexp_replace(lower(statement), '\\s+', ' ', 'g'))) AS h FROM memories WHERE coalesce(trim(category), '') <> '' AND coalesce(trim(statement), '') <> ''),
-    o AS (SELECT h, arg_min(category, id) AS category, max(least(greatest(confidence, 0), 1)) AS confidence, CASE WHEN bool_or(status = 'forgotten') THEN 'forgotten' WHEN bool_or(status = 'superseded') THEN 'superseded' ELSE 'pending' END AS status FROM b WHERE length(statement) % 2 = 0 GROUP BY h),
+    o AS (SELECT h, arg_min(category, id) AS category, max(CASE WHEN confidence IS NOT NULL AND NOT isnan(confidence) THEN least(greatest(confidence, 0), 1) END) AS confidence, CASE WHEN bool_or(status = 'forgotten') THEN 'forgotten' WHEN bool_or(status = 'superseded') THEN 'superseded' ELSE 'pending' END AS status FROM b WHERE length(statement) % 2 = 0 GROUP BY h),
     c AS (SELECT h, min(category) AS category, max(least(greatest(confidence, 0), 1)) AS c2 FROM b WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY h),
     j AS (SELECT coalesce(o.h, c.h) AS h, o.h IS NULL AS new, status, CASE WHEN o.confidence IS NULL THEN c2 WHEN c2 IS NULL THEN o.confidence ELSE greatest(o.confidence, c2) END AS best FROM o FULL JOIN c ON o.h = c.h)
     SELECT h AS content_hash, round(best, 6) AS confidence, CASE WHEN new THEN CASE WHEN best < 0.5 THEN 'pending' ELSE 'active' END WHEN status = 'pending' AND best >= 0.5 THEN 'active' ELSE status END AS status FROM j""")

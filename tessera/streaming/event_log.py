@@ -72,7 +72,7 @@ def ingest(spark: SparkSession, root: str, table: str, checkpoint: str, key: str
     into the keyed table under the batch's number, so a batch that is repeated after a crash changes nothing. Returns the table."""
     from tessera.sources import files
 
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
     def merge(batch: DataFrame, number: int) -> None:
         texts = batch.where(~F.col("path").rlike(r"/\.")).select("path", files.decoded(F.col("content")).alias("text"))
