@@ -14,12 +14,13 @@ def grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
-    """nid and hid of the needles (nid, needle) that stand in the texts (hid, text). Empty needles and nulls are in none."""
-    n = needles.where("length(needle) > 0").select("nid", "needle", F.substring("needle", 1, GRAM).alias("gram"))
+def containing(needles: DataFrame, hay: DataFrame, *within: str) -> DataFrame:
+    """nid and hid of the needles (nid, needle) that stand in the texts (hid, text), of those equal in the columns ``within``.
+    Empty needles and nulls are in none."""
+    n = needles.where("length(needle) > 0").select("nid", "needle", *within, F.substring("needle", 1, GRAM).alias("gram"))
     every = F.flatten(F.array(*[grams(F.col("text"), k) for k in range(1, GRAM + 1)]))
-    h = hay.where("length(text) > 0").select("hid", "text", F.explode(every).alias("gram"))
-    return n.join(h, "gram").where(F.contains("text", "needle")).select("nid", "hid").distinct()
+    h = hay.where("length(text) > 0").select("hid", "text", *within, F.explode(every).alias("gram"))
+    return n.join(h, ["gram", *within]).where(F.contains("text", "needle")).select("nid", "hid").distinct()
 
 
 def sharing(a: DataFrame, b: DataFrame, n: int = GRAM, only: str = "^[一-鿿]+$") -> DataFrame:

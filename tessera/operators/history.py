@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.scalars import within_days
 from tessera.operators import catalog, lexical
+from tessera.session import numbered
 
 RANK = ["query_id", "message_id", "score", "created_at", "sequence"]
 
@@ -52,7 +53,7 @@ def scanned(messages: DataFrame, terms: list[str]) -> DataFrame:
     low = F.lower("content")
     matched = sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
     rows = m.select("message_id", matched.alias("matched"), "created_at").where("matched > 0")
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("matched"), F.desc_nulls_last("created_at"), "message_id")))
+    return numbered(rows, "position", F.desc("matched"), F.desc_nulls_last("created_at"), F.asc("message_id"))
 
 
 def excerpt(text: Column, terms: Column, width: int = 80) -> Column:
@@ -74,8 +75,7 @@ def summaries(messages: DataFrame) -> DataFrame:
 
 def sidebar(conversations: DataFrame) -> DataFrame:
     """``conversations`` (summaries) with place: latest activity first, then the longer one, then id."""
-    order = Window.orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("last_sequence"), "conversation_id")
-    return conversations.withColumn("place", F.row_number().over(order))
+    return numbered(conversations, "place", F.desc_nulls_last("updated_at"), F.desc_nulls_last("last_sequence"), F.asc("conversation_id"))
 
 
 def visible(conversations: DataFrame, archived: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def visible(conversations: DataFrame, archived: DataFrame) -> DataFrame:
 def archive(conversations: DataFrame, archived: DataFrame) -> DataFrame:
     """The archived ones (conversation_id, archived_at) of ``conversations``, latest first by archive time, else last activity."""
     j = conversations.join(archived.groupBy("conversation_id").agg(F.max("archived_at").alias("archived_at")), "conversation_id")
-    return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.coalesce("archived_at", "updated_at")), "conversation_id")))
+    return numbered(j, "place", F.desc_nulls_last(F.coalesce("archived_at", "updated_at")), F.asc("conversation_id"))
 
 
 def titled(rows: DataFrame, conversations: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tessera.operators import sync
 from tessera.operators.hybrid import hashed_embedding
 
 SCHEMA_VERSION, ERRORS = 7, 50
-SPLIT_MIN, SPLIT_BELOW, PART_MIN = 800, 0.30, 120
+SPLIT_MIN, SPLIT_BELOW, PART_MIN, CONTEXT = 800, 0.30, 120, 400
 
 
 # ---- manifests
@@ -94,11 +94,17 @@ def picture_blocks(blocks: DataFrame, cache: DataFrame, descriptions: DataFrame)
     b = blocks.where("block_id IS NOT NULL").groupBy("block_id").agg(*[F.min(c).alias(c) for c in ("source_file", "heading_path", "chunk_type", "image_path", "image_content_hash", "text", "document_order")])
     pictures = b.where("chunk_type = 'image_description'")
     by_path = cache.groupBy("image_path").agg(F.min("description").alias("d1"))
-    first = descriptions.groupBy(F.col("content_hash").alias("image_content_hash")).agg(F.min(F.struct(F.col("created_at").isNull().alias("n"), "created_at", "description")).alias("f")).select("image_content_hash", F.col("f.description").alias("d2"))
-    prose = b.where("chunk_type = 'text' AND coalesce(trim(heading_path), '') <> ''").groupBy("source_file", "heading_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("document_order").isNull().alias("n"), "document_order", "block_id", F.substring("text", 1, 2000).alias("t")))), lambda x: x["t"]), "\n\n").alias("around"))
-    j = pictures.join(by_path, "image_path", "left").join(first, "image_content_hash", "left").join(prose, ["source_file", "heading_path"], "left")
+    earliest = descriptions.groupBy(F.col("content_hash").alias("image_content_hash")).agg(F.min(F.struct(F.col("created_at").isNull().alias("n"), "created_at", "description")).alias("f")).select("image_content_hash", F.col("f.description").alias("d2"))
+    # distinct paragraphs in reading order, as many as begin within the context: a heading with many blocks stays small
+    part = b.where("chunk_type = 'text' AND coalesce(trim(heading_path), '') <> ''").select("source_file", "heading_path", "document_order", "block_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("i", "p")).withColumn("p", F.trim(F.regexp_replace("p", r"\s+", " "))).where("p <> ''")
+    keys = ["source_file", "heading_path"]
+    first = F.min(F.struct(F.col("document_order").isNull().alias("n"), "document_order", "block_id", "i", "p")).alias("f")
+    part = part.groupBy(*keys, F.lower("p").alias("low")).agg(first)
+    before = F.coalesce(F.sum(F.length("f.p") + 1).over(Window.partitionBy(*keys).orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prose = part.withColumn("before", before).where(F.col("before") < CONTEXT).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["p"]), "\n\n").alias("around"))
+    j = pictures.join(by_path, "image_path", "left").join(earliest, "image_content_hash", "left").join(prose, ["source_file", "heading_path"], "left")
     state = F.when(F.col("d1").isNotNull(), "path").when(F.col("d2").isNotNull(), "content").otherwise("pending")
-    return j.select("block_id", state.alias("state"), S.image_summary(F.coalesce("d1", "d2")).alias("indexed"), S.compact_context(F.coalesce("around", F.lit(""))).alias("context"))
+    return j.select("block_id", state.alias("state"), S.image_summary(F.coalesce("d1", "d2")).alias("indexed"), S.compact_context(F.coalesce("around", F.lit("")), CONTEXT).alias("context"))
 
 
 # ---- the vector table

@@ -63,8 +63,8 @@ def deduplicated(evidence: DataFrame) -> DataFrame:
     first = evidence.groupBy("source_type", "source_ref", "content").agg(F.min("evidence_id").alias("evidence_id"))
     one = evidence.join(first.select("evidence_id").distinct(), "evidence_id", "left_semi").dropDuplicates(["evidence_id"])
     c = one.where("length(content) > 0").select("evidence_id", F.concat_ws("\x1f", "source_type", "source_ref").alias("doc"), "content")
-    long = c.select(F.col("evidence_id").alias("_long"), "doc", F.col("content").alias("_text"), F.length("content").alias("_n"))
-    inside = c.join(long, "doc").where((F.col("_n") > F.length("content")) & F.contains("_text", "content")).select("evidence_id").distinct()
+    pairs = containing(c.select(F.col("evidence_id").alias("nid"), "doc", F.col("content").alias("needle")), c.select(F.struct(F.col("evidence_id").alias("i"), F.length("content").alias("n")).alias("hid"), "doc", F.col("content").alias("text")), "doc")
+    inside = pairs.join(c.select(F.col("evidence_id").alias("nid"), F.length("content").alias("n")), "nid").where(F.col("hid.n") > F.col("n")).select(F.col("nid").alias("evidence_id")).distinct()
     return one.join(inside, "evidence_id", "left_anti")
 
 

@@ -263,12 +263,9 @@ def evidence_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gap_disclosure")
 def gap_disclosure(spark: SparkSession, d: str) -> DataFrame:
-    """Whether answers say openly what they lack: here the messages of conversations against the first answer points (rules of
-    language: tested on cases)."""
-    m = table(spark, d, "conversation_messages").where("message_id IS NOT NULL AND content IS NOT NULL").select(F.col("message_id").alias("answer_id"), F.explode(F.split("content", r"\n\s*\n")).alias("paragraph")).distinct()
-    lack = m.select("answer_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("answer_id"), F.lit(16)))
-    p = points(spark, d).withColumn("bucket", F.pmod(F.xxhash64("requirement_id"), F.lit(16)))
-    return research.disclosed(m, lack.join(p, "bucket").select("answer_id", "requirement_id", "text"))
+    """Whether the evidence of an item says openly that one of its answer points is missing (rules of language: tested on cases)."""
+    paragraphs = snippets(spark, d).select(F.col("id").alias("answer_id"), F.explode(F.split("content", r"\n\s*\n")).alias("paragraph")).distinct()
+    return research.disclosed(paragraphs, points(spark, d).select(F.col("run").alias("answer_id"), "requirement_id", "text"))
 
 
 @query("quoted_terms", r"""WITH a AS (SELECT DISTINCT message_id, content FROM conversation_messages WHERE message_id IS NOT NULL AND content IS NOT NULL), q AS (SELECT DISTINCT message_id, unnest(regexp_extract_all(content, '「[^「」\n]{2,120}」|『[^『』\n]{2,120}』|“[^“”\n]{2,120}”|"[^"\n]{2,120}"')) AS q FROM a), t AS (SELECT DISTINCT message_id, substring(q, 2, length(q) - 2) AS term FROM q),

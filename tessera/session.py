@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tessera", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -46,6 +47,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with a number from 1 in a total order of all rows. Rows are divided into ranges of the order and written; each
+    range is numbered by itself and offset by the sizes of those before it, so no task sorts everything."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(spark, df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_own", own).join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_range", "_own", "_before")
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch_path(spark, name)
