@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.embed import embedding
 from tessera.operators import dense, lexical
+from tessera.session import cut
 
 RRF_K, DENSE_WINDOW, LEXICAL_WINDOW = 60, 400, 50
 RESCUE_RANK, MIN_RARITY, MIN_COVERAGE, LONG_COVERAGE, LONG_TERMS, ESCAPE = 15, 0.20, 0.25, 0.30, 8, 6
@@ -84,7 +85,7 @@ def search_route(spark: SparkSession, blocks: DataFrame, queries: DataFrame, map
 def fuse(blocks: DataFrame, queries: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """query_id, block_id with the ranks and scores of both routes, rrf_score and rrf_rank; missing evidence stays null. The
     dense route is the stored similarity, the same for every query; with ``spark`` it is a search for each query."""
-    mapped = canonical(blocks)
+    mapped = cut(blocks.sparkSession, canonical(blocks), "canonical")
     ids = mapped.select(F.col("canonical_id").alias("block_id")).distinct()
     texts = blocks.groupBy("block_id").agg(F.first("text", ignorenulls=True).alias("text"))
     lex = lexical.search(texts.join(ids, "block_id", "left_semi"), "block_id", "text", queries, "query_id", "question", LEXICAL_WINDOW)

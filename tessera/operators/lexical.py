@@ -20,10 +20,15 @@ K1, B = 1.5, 0.75
 RECORD = "\0"
 
 
+SMALL = 32 << 20  # bytes for each core up to which a table is divided anew
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer partitions (small tables); large tables stay as they are read."""
+    """``df`` over all cores where it is small (by the planner's estimate, nothing is run for it): small tables come in few files
+    and adaptive execution joins small partitions, but tokenising takes time. Large tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 def term_counts(records: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -79,7 +84,8 @@ def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_ke
     stats = counts.where(F.col("term") == RECORD).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = counts.where(F.col("term") != RECORD)
     idf = with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats).select("term", "idf", "n", "avgdl")
-    hits = (postings if only is None else postings.join(only.select(key), key, "left_semi")).join(q, "term").join(idf, "term")
+    weighed = cut(spark, q.join(idf, "term"), "weighed_terms")  # a row for each question and term: its size is known to the planner
+    hits = (postings if only is None else postings.join(only.select(key), key, "left_semi")).join(weighed, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     max_idf = F.log(1 + (F.col("n") - 0.5) / 0.5)
     scored = hits.groupBy(query_key, key).agg(
