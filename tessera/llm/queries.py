@@ -37,7 +37,31 @@ WORD_SQL = r"[一-鿿㐀-䶿]|(?:[^\P{L}一-鿿㐀-䶿]|\p{N})+"
 LOOKS_SQL = "".join(sorted(lookalikes.LOOKS))
 PART_SQL = r"[\p{Latin}\p{N}_\p{Greek}\p{Cyrillic}]*"
 
+#: The rows of problem 3 as sets of runs, their classes of equal sets, and the links between classes.
+SETS = f"""t AS (SELECT DISTINCT 'blocks' AS tbl, block_id AS id, text FROM blocks WHERE block_id IS NOT NULL AND text IS NOT NULL
+                   UNION ALL SELECT DISTINCT 'image_descriptions', content_hash, description FROM image_descriptions WHERE content_hash IS NOT NULL AND description IS NOT NULL),
+        r AS (SELECT tbl, id, row_number() OVER (ORDER BY tbl, id, text) AS k, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM t),
+        s AS (SELECT DISTINCT tbl, id, k, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - 2)) AS i FROM r)),
+        st AS (SELECT tbl, id, k, list_sort(list(h)) AS hs FROM s GROUP BY ALL),
+        c AS (SELECT tbl, hs, min(id) AS class_id, count(DISTINCT id) AS size, len(hs) AS n, row_number() OVER () AS c FROM st GROUP BY tbl, hs),
+        e AS (SELECT tbl, c, unnest(hs) AS h FROM c), o AS (SELECT a.c AS ca, b.c AS cb, count(*) AS o FROM e a JOIN e b ON a.tbl = b.tbl AND a.h = b.h AND a.c < b.c GROUP BY a.c, b.c),
+        l AS (SELECT x.tbl, ca, cb, x.class_id AS ia, y.class_id AS ib, o / (x.n + y.n - o) AS similarity FROM o JOIN c x ON x.c = ca JOIN c y ON y.c = cb WHERE 2 * o >= x.n + y.n - o)"""
+
 SQL: dict[str, str] = {
+    "p3_links": f"WITH {SETS} SELECT tbl, least(ia, ib) AS class_a, greatest(ia, ib) AS class_b, round(similarity, 6) AS similarity FROM l",
+    "p3_members": f"""WITH {SETS}, g AS (SELECT c, count(*) AS links FROM (SELECT ca AS c FROM l UNION ALL SELECT cb FROM l) GROUP BY c),
+        m AS (SELECT DISTINCT st.tbl, id, class_id, size, coalesce(links, 0) AS links FROM st JOIN c ON st.tbl = c.tbl AND st.hs = c.hs LEFT JOIN g USING (c)),
+        a AS (SELECT DISTINCT 'blocks' AS tbl, block_id AS id FROM blocks WHERE block_id IS NOT NULL UNION ALL SELECT DISTINCT 'image_descriptions', content_hash FROM image_descriptions WHERE content_hash IS NOT NULL)
+        SELECT a.tbl, a.id, coalesce(class_id, a.id) AS class_id, coalesce(size, 1) AS size, coalesce(links, 0) AS links FROM a LEFT JOIN m ON a.tbl = m.tbl AND a.id = m.id""",
+    "p2_conversations": r"""
+        WITH m AS (SELECT conversation_id, message_id, min(sequence) AS seq, min(role) AS role, min(content) AS content, bool_or(sequence IS NULL) AS no_seq
+                   FROM history_messages WHERE conversation_id IS NOT NULL GROUP BY ALL),
+        r AS (SELECT *, CASE WHEN lower(trim(role)) IN ('user', 'human', '用户') THEN 'u' WHEN lower(trim(role)) IN ('assistant', 'ai', '助手') THEN 'a' WHEN lower(trim(role)) IN ('system', 'tool') THEN 's' END AS who,
+                     regexp_matches(coalesce(content, ''), '[\p{L}\p{N}\p{P}\p{S}]') AS seen FROM m),
+        c AS (SELECT conversation_id, bool_or(no_seq) OR min(seq) <> 1 OR max(seq) <> count(*) OR count(DISTINCT seq) <> count(*) OR count(who) <> count(*) OR bool_or(who <> 's' AND NOT seen) AS broken,
+                     coalesce(string_agg(CASE WHEN who <> 's' THEN who END, '' ORDER BY seq), '') AS turns FROM r GROUP BY conversation_id)
+        SELECT conversation_id, seq AS sequence, CASE who WHEN 'u' THEN 'user' ELSE 'assistant' END AS speaker, message_id, content
+        FROM r JOIN c USING (conversation_id) WHERE NOT broken AND regexp_full_match(turns, '(ua+)+') AND who IN ('u', 'a')""",
     "p3_found": f"""
         WITH t AS (SELECT DISTINCT 'blocks' AS tbl, block_id AS id, text FROM blocks WHERE block_id IS NOT NULL AND text IS NOT NULL
                    UNION ALL SELECT DISTINCT 'image_descriptions', content_hash, description FROM image_descriptions WHERE content_hash IS NOT NULL AND description IS NOT NULL),
