@@ -38,8 +38,9 @@ from tessera.session import cut, scratch_path
 SEGMENT = 256  # sequence numbers per key of the state
 FOLD = 1024  # segments joined at once at the first level
 BROKEN = 64  # states of a conversation's messages without a valid number
-BUCKET_ROWS = 20_000  # stored rows of a bucket of states
+BUCKET_ROWS, PART_ROWS = 5_000, 25_000  # stored rows of a bucket of states, and of a partition of the state
 DELAY, TIMEOUT_S = "3 days", 3600
+PARTS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: Spellings of the roles after NFKC, case folding and removal of all but letters (fixed values).
@@ -180,7 +181,8 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int, delay:
     stored = spark.read.parquet(path)
     span = stored.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b"), F.count(F.lit(1)).alias("n")).first()
     low, high = (span["a"], span["b"]) if span["a"] is not None else (pd.Timestamp("2000-01-01"),) * 2
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-span["n"] // BUCKET_ROWS))
+    parts = min(int(spark.conf.get(PARTS)), max(1, -(-span["n"] // PART_ROWS)))  # a micro-batch has a task for each, however small
+    buckets = max(4 * parts, -(-span["n"] // BUCKET_ROWS))
     fields = ["conversation_id", "message_id", "role", "content", "sequence", "created_at"]
     shape = stored.select(*fields)
     closing, out, state = (scratch_path(spark, x) for x in ("closing", "conversations", "state"))
@@ -190,13 +192,14 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int, delay:
     rows = read(path).unionByName(read(closing))
     rows = rows.withColumn("event_time", F.coalesce(F.col("created_at").cast("timestamp"), F.lit(str(low)).cast("timestamp")))
     stream = rebuild_stream(rows, delay, timeout_s, buckets, turns)
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, PARTS: str(parts)}
+    before = {name: spark.conf.get(name) for name in own}
 
     def run() -> None:
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
 
-    spark.conf.set(name, ROCKSDB)
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         run()
         end = F.lit(str(pd.Timestamp(high) + 2 * pd.Timedelta(delay) + pd.Timedelta(seconds=2 * timeout_s + 3600))).cast("timestamp")
@@ -204,7 +207,8 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int, delay:
         spark.range(1).select(*row).write.mode("append").parquet(closing)
         run()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(OUT).parquet(out).where(F.col("conversation_id") != "\0close")
 
 
@@ -239,7 +243,7 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1000, timeou
     if not n:
         return emitted
     keys = ["conversation_id", "segment"]
-    late = rebuild(keyed(stored).join(again, keys, "left_semi"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * SEGMENT // BUCKET_ROWS)), turns)
+    late = rebuild(keyed(stored).join(again, keys, "left_semi"), max(int(spark.conf.get(PARTS)), -(-n * SEGMENT // BUCKET_ROWS)), turns)
     return emitted.join(again, keys, "left_anti").unionByName(late)
 
 
