@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import cut
+from tessera.session import bucketed, cut
 
 K1, B = 1.5, 0.75
 
@@ -74,13 +74,14 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def search(records: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = 50, only: DataFrame | None = None) -> DataFrame:
     """The ``k`` best records of every query with score, rank and the evidence the gates use; ties by key.
 
-    Only the postings of the queries' terms are kept, in a table that the scores, their document frequencies and the corpus
+    Only the postings of the queries' terms are kept, in buckets of the records (so the hits of a record and query, the most rows
+    of a search, are summed where they are), in a table that the scores, their document frequencies and the corpus
     statistics are all read from. Document frequencies and lengths cover all records; hits are those among ``only`` (its key), if given,
     and ranks count those.
     """
     spark = records.sparkSession
     q = cut(spark, query_terms(queries, query_key, query_text), "query_terms")
-    counts = cut(spark, term_counts(records, key, text, q.select("term").distinct()), "postings")
+    counts = bucketed(spark, term_counts(records, key, text, q.select("term").distinct()), key, "postings")
     stats = counts.where(F.col("term") == RECORD).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = counts.where(F.col("term") != RECORD)
     idf = with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats).select("term", "idf", "n", "avgdl")

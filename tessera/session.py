@@ -59,6 +59,14 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     return ranges.withColumn("_own", own).join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_range", "_own", "_before")
 
 
+def bucketed(spark: SparkSession, df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``cut``, in buckets of ``key``: what is grouped or joined by it later moves no more."""
+    path, parts = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch_path(spark, name)
