@@ -36,8 +36,8 @@ def term_counts(records: DataFrame, key: str, text: str, wanted: DataFrame | Non
     Texts are tokenised once; counting is partial per task before the shuffle."""
     toks = spread(records.select(key, text)).select(key, T.tokens(F.col(text)).alias("toks"))
     rows = toks.select(key, F.size("toks").alias("dl"), F.explode(F.array_append("toks", F.lit(RECORD))).alias("term"))
-    if wanted is not None:
-        rows = rows.join(wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(RECORD,)], "term string")), "term", "left_semi")
+    if wanted is not None:  # a record's rows come together by its key alone, so that they may be stored in buckets of it
+        rows = rows.join(wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(RECORD,)], "term string")), "term", "left_semi").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

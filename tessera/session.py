@@ -60,10 +60,11 @@ def numbered(df: DataFrame, name: str, *order) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, df: DataFrame, key: str, name: str) -> DataFrame:
-    """Like ``cut``, in buckets of ``key``: what is grouped or joined by it later moves no more."""
+    """Like ``cut``, in buckets of ``key``: what is grouped or joined by it later moves no more. ``df`` should be partitioned by
+    ``key`` (else each task writes a file for every bucket)."""
     path, parts = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = path.rpartition("/")[2].replace("-", "_")
-    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
