@@ -21,7 +21,8 @@ Candidates are bounded above without their sets (Hamming distance of parity bitm
 Execution. Records are packed into batches (numpy arrays in binary columns), so that tokens move as a few bytes each:
   1 tokenise once; write batches and memberships to the shared folder; of the batches that hold a set, the first keeps it
   2 document frequency: distinct tokens per batch with counts, summed by hash range, answered as one byte per token
-  3 signatures per batch, regrouped by hash range; candidates that pass the bitmap bound
+  3 signatures per batch, regrouped by hash range; candidates that pass the bitmap bound. The bitmaps lie in the shared folder
+    once: a range, bounded in size, reads those of its records that meet another (sent along, a record's would be in every range)
   4 verify: the token sets of candidate records only (each batch is told which of its records are asked for)
 Equal sets are one class: they collapse within each batch, then over all batches (16 bytes a set are shuffled), before anything
 is counted, so a hot group of copies weighs as one record. Frequencies are summed before the shuffle, so a hot token costs
@@ -42,7 +43,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,8 @@ EXPAND = 32  # exact copies of one text that are paired in full
 SPREAD = 16  # parts of a large class that are paired in different tasks
 HOT = 8192  # records of a signature that are paired in one block
 RANGE_TOKENS, LEAST_RANGES = 6_000_000, 6  # tokens of a hash range; ranges of a small table
+MAP_TOKENS = 100_000_000  # tokens of the bitmaps in one file, some 55 MB
+SIGNATURE_BITS = 29  # of a signature within its range
 BATCH_DOCS, BATCH_TOKENS = 16384, 1_500_000
 TOKEN_BITS = 44
 TIERS = [(0, 34, 0)] + [(34 * 8**k, 34 * 8 ** (k + 1), 16 * 8**k) for k in range(5)]  # from, to (tokens), pair classes
@@ -194,7 +199,7 @@ def batches(records: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for frame in frames:
             members = []
             for tbl, key, h, x, own in sets_of_frame(frame, seeds, shingle):
-                members.append((tbl, key, signed(h), signed(x), signed(xxh64_intdigest(key))))  # the last spreads them over the buckets
+                members.append((tbl, key, signed(h), signed(x), task << 20))  # in the bucket of the task's first batch: a file, not one for every bucket
                 if h not in held:
                     held[h] = own
                     total += len(own)
@@ -350,15 +355,52 @@ def coded_signatures(u: np.ndarray, code: np.ndarray, places: np.ndarray, sizes:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, bool), np.empty(0, np.uint8))
 
 
-SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary, maps binary"
+def stored_bitmaps(spark: SparkSession, own: DataFrame, files: int) -> tuple[str, int]:
+    """A folder of the shared folder with the bitmaps of the records that are kept (batch, docs, sizes, maps), and how many tokens
+    these have. In few files, as every hash range reads all."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                u, places, sizes, _, docs = kept(row)
+                if len(docs):
+                    yield pd.DataFrame([(row.batch, squeeze_places(docs), squeeze(sizes), bitmaps(u[places], sizes)[0].tobytes(), int(sizes.sum()))], columns=["batch", "docs", "sizes", "maps", "total"])
+
+    path = scratch_path(spark, "maps")
+    own.mapInPandas(run, "batch long, docs binary, sizes binary, maps binary, total long").repartition(files, "batch").write.parquet(path)
+    return path, spark.read.parquet(path).agg(F.sum("total")).first()[0] or 0
+
+
+def bitmaps_of(path: str, gid: np.ndarray, asked: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmaps (``width`` words each) of the ``asked`` among the ascending records ``gid``, and their offsets."""
+    wide = np.where(asked, width, 0)
+    offset = np.cumsum(wide) - wide
+    out = np.zeros(int(wide.sum()), np.uint64)
+    fs, folder = FileSystem.from_uri(path)
+    for file in fs.get_file_info(FileSelector(folder)) if len(out) else []:
+        if not file.base_name.endswith(".parquet"):
+            continue
+        with fs.open_input_file(file.path) as opened:
+            for rows in pq.ParquetFile(opened, buffer_size=1 << 20).iter_batches(8, columns=["batch", "docs", "sizes", "maps"], use_threads=False):
+                for batch, docs, sizes, maps in zip(*(c.to_pylist() if k < 3 else c for k, c in enumerate(rows.columns)), strict=True):
+                    low, high = np.searchsorted(gid, (batch << 15, (batch + 1) << 15))
+                    own = low + np.flatnonzero(asked[low:high])
+                    if len(own):
+                        widths = bitmap_widths(stretch(sizes, np.int32))
+                        at = np.searchsorted(stretch_places(docs), (gid[own] & 0x7FFF).astype(np.uint32))
+                        out[spans(offset[own], width[own])] = np.frombuffer(maps.as_buffer(), np.uint64)[spans((np.cumsum(widths) - widths)[at], width[own])]
+    return out, offset
+
+
+SENT = "r int, batch long, sig binary, rec binary, docs binary, sizes binary"
 
 
 def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
-    """Per batch and hash range: its signatures with the records they belong to, and those records' sizes and bitmaps.
-    Within its range a signature keeps 32 bits: a range holds some million, and false meetings fail the bitmap bound."""
+    """Per batch and hash range: its signatures with the records they belong to, and those records' sizes.
+    Within its range a signature keeps SIGNATURE_BITS: a range holds some million, and false meetings fail the bitmap bound."""
     ranges = len(keys)
     lows = np.array([r * (1 << 64) // ranges for r in range(ranges)], np.uint64)
-    shift = np.uint64(max(0, ((1 << 64) // ranges).bit_length() - 32))
+    shift = np.uint64(max(0, ((1 << 64) // ranges).bit_length() - SIGNATURE_BITS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -368,7 +410,6 @@ def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
                     continue
                 code = np.concatenate([stretch(x, np.uint8) for x in row.codes])
                 sig, rec, kind = in_blocks(*coded_signatures(u, code, places, sizes), sets)
-                maps, offsets, widths = bitmaps(u[places], sizes)
                 order = np.argsort(sig)
                 sig, rec, kind = sig[order], rec[order], kind[order]
                 edges = np.append(np.searchsorted(sig, lows), len(sig))
@@ -377,7 +418,7 @@ def send_signatures(joined: DataFrame, keys: list[int]) -> DataFrame:
                     if s == e:
                         continue
                     docs, local = np.unique(rec[s:e], return_inverse=True)
-                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze(own[docs].astype(np.uint32)), squeeze(sizes[docs]), maps[spans(offsets[docs], widths[docs])].tobytes())], columns=["r", "batch", "sig", "rec", "docs", "sizes", "maps"])
+                    yield pd.DataFrame([(keys[r], row.batch, squeeze_sorted((sig[s:e] - lows[r]) >> shift), squeeze((local * 4 + kind[s:e]).astype(np.uint32)), squeeze_places(own[docs]), squeeze(sizes[docs]))], columns=["r", "batch", "sig", "rec", "docs", "sizes"])
 
     return joined.mapInPandas(run, SENT)
 
@@ -406,23 +447,23 @@ def passing(a: np.ndarray, b: np.ndarray, n: np.ndarray, maps: np.ndarray, offse
     return ok
 
 
-def candidates(sent: DataFrame) -> DataFrame:
-    """ga < gb (batch and place of the records): pairs that share a signature and pass the bounds."""
+def candidates(sent: DataFrame, maps: str) -> DataFrame:
+    """ga < gb (batch and place of the records): pairs that share a signature and pass the bounds. ``maps`` is the folder of the
+    records' bitmaps."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch")
-        sigs, recs, gids, sizes, maps, base = [], [], [], [], [], 0
+        sigs, recs, gids, sizes, base = [], [], [], [], 0
         for row in frame.itertuples():
-            docs = stretch(row.docs, np.uint32)
+            docs = stretch_places(row.docs)
             sigs.append(stretch_sorted(row.sig).astype(np.uint32))
             recs.append(stretch(row.rec, np.uint32) + np.uint32(4 * base))
             gids.append((np.int64(row.batch) << 15) + docs.astype(np.int64))
             sizes.append(stretch(row.sizes, np.int32))
-            maps.append(np.frombuffer(row.maps, np.uint64))
             base += len(docs)
         del frame
-        gid, n, m = (np.concatenate(x) for x in (gids, sizes, maps))
-        del gids, sizes, maps
+        gid, n = np.concatenate(gids), np.concatenate(sizes)
+        del gids, sizes
         sig = np.concatenate(sigs)
         del sigs
         order = np.arange(len(sig), dtype=np.uint64)  # signature and place in one number, sorted in its place
@@ -436,7 +477,6 @@ def candidates(sent: DataFrame) -> DataFrame:
         del recs, order, same, met
         n = n.astype(np.int32)
         width = bitmap_widths(n)
-        offset = np.cumsum(width) - width
         rec, kind = (rec >> np.uint32(2)).astype(np.int32), (rec & np.uint32(3)).astype(np.uint8)
         key = (sig.astype(np.uint64) << np.uint64(32)) | (n[rec].astype(np.uint64) << np.uint64(2)) | kind  # by signature, size and kind
         del sig, kind
@@ -451,6 +491,10 @@ def candidates(sent: DataFrame) -> DataFrame:
         left, first, length = np.concatenate([own, own]), np.concatenate([own + 1, larger]), np.concatenate([same - own - 1, end - larger])
         some = length > 0
         left, first, length = left[some], first[some], length[some]
+        partner = np.cumsum(np.bincount(first, minlength=len(key) + 1) - np.bincount(first + length, minlength=len(key) + 1))[:-1] > 0
+        asked = np.zeros(len(gid), bool)  # the records that meet another
+        asked[rec[left]], asked[rec[partner]] = True, True
+        m, offset = bitmaps_of(maps, gid, asked, width)
         out: list[np.ndarray] = []
         edges = np.concatenate(([0], np.cumsum(length)))
         at = 0
@@ -521,10 +565,11 @@ def similar_sets(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, Da
     packed = stored.where("total IS NOT NULL")
     members = stored.where("total IS NULL").select("tbl", "id", "h", "x").distinct()
     total = packed.agg(F.sum("total")).first()[0] or 0
-    keys = range_keys(spark, max(LEAST_RANGES, -(-total // RANGE_TOKENS)))
     own = packed.select("batch", "tokens", "places", "sizes", "sets").join(repeated(spark, packed), F.col("batch") == F.col("b"), "left").drop("b")
+    maps, total = stored_bitmaps(spark, own, max(1, -(-total // MAP_TOKENS)))
+    keys = range_keys(spark, max(LEAST_RANGES, -(-total // RANGE_TOKENS)))
     joined = own.join(frequencies(own, keys), F.col("batch") == F.col("b")).drop("b")
-    pairs = cut(spark, candidates(send_signatures(joined, keys)), "candidates")
+    pairs = cut(spark, candidates(send_signatures(joined, keys), maps), "candidates")
     return members, verified(spark, packed, pairs)
 
 

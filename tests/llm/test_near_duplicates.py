@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_duplicates as N
 from tessera.llm.words import hashes_of_texts, words
@@ -200,3 +201,40 @@ def test_hashes_of_texts_are_those_of_their_words():
     frame = pd.DataFrame(rows, columns=["tbl", "id", "text"])
     own = [[(i, h, x.tolist()) for _, i, h, _, x in N.sets_of_frame(frame, {}, 2, n)] for n in (5, 1_000_000)]
     assert own[0] == own[1] and len(own[0]) == 3 * sum(len(words(t)) > 1 for t in texts)
+
+
+def test_more_hash_ranges_do_not_multiply_what_is_sent(spark):
+    """A record's bitmap is stored once; what goes to the ranges is bounded by its signatures, whatever their number."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(1500):  # frequent runs, as in a large corpus
+        texts.append(" ".join(f"a{k} b{k} c{k} d{k}" for k in r.sample(range(40), 30)))
+    df = spark.createDataFrame([("blocks", f"i{i:04}", t) for i, t in enumerate(texts)], "tbl string, id string, text string").coalesce(1)
+    packed = N.bucketed(spark, N.batches(df), "batch").where("total IS NOT NULL").withColumn("gone", F.lit(None).cast("array<long>"))
+
+    def sent(ranges):
+        keys = N.range_keys(spark, ranges)
+        told = packed.join(N.frequencies(packed, keys), F.col("batch") == F.col("b"))
+        rows = N.send_signatures(told, keys)
+        return rows.select(sum(F.length(c) for c, kind in rows.dtypes if kind == "binary").alias("n")).agg(F.sum("n")).first()[0]
+
+    assert sent(60) < 1.5 * sent(6)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_many_hash_ranges_and_files_of_bitmaps_against_brute_force(spark, monkeypatch, files):
+    monkeypatch.setattr(N, "LEAST_RANGES", 40)
+    monkeypatch.setattr(N, "BATCH_DOCS", 7)
+    monkeypatch.setattr(N, "MAP_TOKENS", 1 if files > 1 else N.MAP_TOKENS)
+    stored = N.stored_bitmaps
+    monkeypatch.setattr(N, "stored_bitmaps", lambda s, own, n: stored(s, own, min(n, files)))
+    rows = corpus(11, 120, 40)
+    rows += [(t, f"again{i}", x) for i, (t, _, x) in enumerate(rows[:20])]
+    got = {tuple(r) for r in N.found(spark, spark.createDataFrame(rows, "tbl string, id string, text string").repartition(4)).collect()}
+    assert got == brute(rows) and len(got) > 20
+
+
+def test_memberships_of_a_task_are_in_one_bucket(spark):
+    """Else every task writes a file for each bucket, and their number grows with the square of the input."""
+    df = spark.createDataFrame([("blocks", f"i{i}", f"one two three w{i}") for i in range(200)], "tbl string, id string, text string").coalesce(1)
+    assert N.batches(df).where("total IS NULL").select("batch").distinct().count() == 1
