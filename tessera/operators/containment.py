@@ -27,3 +27,27 @@ def sharing(a: DataFrame, b: DataFrame, n: int = GRAM, only: str = "^[一-鿿]+$
     """nid and hid of the texts of ``a`` (nid, text) and ``b`` (hid, text) with a run of ``n`` characters of ``only`` in common."""
     runs = lambda df, key: df.select(key, F.explode(grams(F.col("text"), n)).alias("gram")).where(F.col("gram").rlike(only))
     return runs(a, "nid").join(runs(b, "hid"), "gram").select("nid", "hid").distinct()
+
+
+def standing(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """needle and text of the needles (needle) that stand in the texts (text), each pair once. However many needles begin alike,
+    the work follows the texts: a place of a text meets the lengths of the needles that begin as it does, then the needle of
+    each such length, both by equality. Hashes only route; what they find is checked."""
+    n = needles.where("length(needle) > 0").select("needle").distinct()
+    sizes = [r[0] for r in n.select(F.least(F.length("needle"), F.lit(GRAM))).distinct().collect()]  # GRAM at most
+    if not sizes:
+        return needles.sparkSession.createDataFrame([], "needle string, text string")
+    t = hay.where("length(text) > 0").select("text").distinct().withColumn("tid", F.xxhash64("text"))
+    starts = n.groupBy(F.substring("needle", 1, GRAM).alias("gram")).agg(F.collect_set(F.length("needle")).alias("lengths"))
+    c, length = F.col("text"), F.length("text")
+
+    def places(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), length - (k - 1)), lambda i: F.struct(i.alias("at"), F.substr(c, i, F.lit(k)).alias("gram")))
+        return F.when(length >= k, every).otherwise(F.array().cast("array<struct<at:int,gram:string>>"))
+
+    at = t.select("tid", F.explode(F.flatten(F.array(*[places(k) for k in sizes]))).alias("p")).select("tid", "p.at", "p.gram")
+    asked = at.join(starts, "gram").select("tid", "at", "lengths").join(t, "tid")
+    fits = F.filter("lengths", lambda k: F.col("at") + k - 1 <= length)
+    keys = asked.select("tid", "text", "at", F.explode(fits).alias("k")).select("tid", F.xxhash64(F.substr(c, F.col("at"), F.col("k"))).alias("key"))
+    hits = keys.join(n.withColumn("key", F.xxhash64("needle")), "key").select("tid", "needle").distinct()
+    return hits.join(t, "tid").where(F.contains("text", "needle")).select("needle", "text")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.containment import containing, sharing
+from tessera.operators.containment import containing, sharing, standing
+from tessera.session import cut
 
 #: Labels that are questions rather than subjects; where the reference's bands begin (fixed values).
 LOW_LABELS = "是什么 什么是 为什么 为何 怎么 怎么样 怎么做 怎么实现 如何 如何做 如何实现 怎样 哪些 有哪些 多少 什么".split()
@@ -142,18 +143,25 @@ def resolve_scope(questions: DataFrame, titles: DataFrame) -> DataFrame:
     """query_id and doc_id of the one document a question names: whose title it holds, else the one with a quoted fragment of the
     question in its title, else the one that shares most pairs of characters (at least four, and more than any other).
     ``titles`` has doc_id and title. Questions that name none or several have no row."""
-    q = questions.select("query_id", "question", T.catalog_text(F.col("question")).alias("q")).where("q <> ''")
-    t = titles.select("doc_id", T.catalog_text(F.col("title")).alias("title")).where("length(title) >= 2").distinct()
-    names = t.select(F.col("doc_id").alias("nid"), F.col("title").alias("needle"))
-    whole = containing(names, q.select(F.col("query_id").alias("hid"), F.col("q").alias("text"))).select(F.col("hid").alias("query_id"), F.col("nid").alias("doc_id"), F.lit(0).alias("level"), F.lit(0).alias("n"))
+    spark = questions.sparkSession
+    q = cut(spark, questions.select("query_id", T.catalog_text(F.col("question")).alias("q")).where("q <> ''"), "questions")
+    t = cut(spark, titles.select("doc_id", T.catalog_text(F.col("title")).alias("title")).where("length(title) >= 2").distinct(), "titles")
+    # titles and questions meet once each by their text; of the documents, whether they are one is all that counts
+    ends = lambda low, high: (F.min(low).alias("low"), F.max(high).alias("high"))
+    own = t.groupBy("title").agg(*ends("doc_id", "doc_id"))
+    rest = lambda left, known: left.join(known.select(F.col("query_id").alias("known")), F.col("query_id").eqNullSafe(F.col("known")), "left_anti")
+    holds = standing(t.select(F.col("title").alias("needle")), q.select(F.col("q").alias("text")))
+    holds = holds.join(own, F.col("needle") == F.col("title")).groupBy("text").agg(*ends("low", "high"))
+    whole = cut(spark, q.join(holds, F.col("q") == F.col("text")).groupBy("query_id").agg(*ends("low", "high")), "whole")
+    q = cut(spark, rest(q, whole), "questions")
     quoted = q.select("query_id", F.explode(F.regexp_extract_all("q", F.lit("[「『《“\"]([^」』》”\"\\n]{2,60})[」』》”\"]"), 1)).alias("needle")).distinct()
-    part = containing(quoted.select(F.col("query_id").alias("nid"), "needle"), t.select(F.col("doc_id").alias("hid"), F.col("title").alias("text"))).select(F.col("nid").alias("query_id"), F.col("hid").alias("doc_id"), F.lit(1).alias("level"), F.lit(0).alias("n"))
+    stands = standing(quoted, t.select(F.col("title").alias("text"))).join(own, F.col("text") == F.col("title")).groupBy("needle").agg(*ends("low", "high"))
+    part = cut(spark, quoted.join(stands, "needle").groupBy("query_id").agg(*ends("low", "high")), "part")
+    q = rest(q, part)
     pairs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=([{T.CJK}]{{2}}))"), 1))
-    overlap = q.select("query_id", F.explode(pairs(F.col("q"))).alias("g")).join(t.select("doc_id", F.explode(pairs(F.col("title"))).alias("g")), "g").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 4").select("query_id", "doc_id", F.lit(2).alias("level"), "n")
-    every = whole.unionByName(part).unionByName(overlap)
-    best = every.groupBy("query_id").agg(F.min(F.struct("level", (-F.col("n")).alias("m"))).alias("b"))
-    top = every.join(best, "query_id").where((F.col("level") == F.col("b.level")) & (F.col("n") == -F.col("b.m")))
-    return top.groupBy("query_id").agg(F.countDistinct("doc_id").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").select("query_id", "doc_id")
+    overlap = q.select("query_id", F.explode(pairs(F.col("q"))).alias("g")).join(t.select("doc_id", F.explode(pairs(F.col("title"))).alias("g")), "g").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    most = overlap.groupBy("query_id", "n").agg(*ends("doc_id", "doc_id")).groupBy("query_id").agg(F.max_by(F.struct("low", "high"), "n").alias("e")).select("query_id", "e.*")
+    return whole.unionByName(part).unionByName(most).where("low = high").select("query_id", F.col("low").alias("doc_id"))
 
 
 def tool_catalog(blocks: DataFrame, positions: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,50 @@ def test_scope_rules(spark):
     assert {r["query_id"]: r["doc_id"] for r in entries.resolve_scope(q, t).collect()} == {"a": 4, "c": 1, "d": 1}
 
 
+def test_standing_against_brute_force(spark):
+    r = random.Random(8)
+    needles = ["".join(r.choice("ab中") for _ in range(r.randint(1, 9))) for _ in range(60)] + ["", None, "𠀀b", "abab"]
+    texts = ["".join(r.choice("ab中𠀀") for _ in range(r.randint(0, 14))) for _ in range(80)] + [None]
+    n, h = spark.createDataFrame([(x,) for x in needles * 2], "needle string"), spark.createDataFrame([(x,) for x in texts * 2], "text string")
+    got = [tuple(x) for x in containment.standing(n, h).collect()]
+    want = {(a, b) for a in needles for b in texts if a and b and a in b}
+    assert set(got) == want and len(got) == len(want) > 100
+    assert containment.standing(n.where("needle = ''"), h).count() == 0
+
+
+def test_titles_that_begin_alike_are_not_paired_with_all_questions(spark, monkeypatch):
+    """Rows of a join follow the questions, not their number times that of the titles with the same beginning."""
+    n = 3000
+    titles = spark.createDataFrame([(i, f"reading-plan-{i:05}") for i in range(n)] + [(n, "reading-plan-00007")], "doc_id int, title string")
+    asked = titles.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("what does "), "title", F.lit(" say?")).alias("question"))
+    frames = []
+    monkeypatch.setattr(entries, "standing", lambda a, b: frames.append(containment.standing(a, b)) or frames[-1])
+    got = {x["query_id"]: x["doc_id"] for x in entries.resolve_scope(asked, titles).collect()}
+    assert got == {i: i for i in range(n) if i != 7}
+    assert frames[0].count() == n
+    frames[0].collect()
+    plan = frames[0]._jdf.queryExecution().executedPlan()
+
+    def rows(p):
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return rows(p.executedPlan())
+        if "QueryStage" in name:
+            return rows(p.plan())
+        m = p.metrics().get("numOutputRows")
+        own = m.get().value() if "Join" in name and m.isDefined() else 0
+        kids = p.children()
+        return max([own, *(rows(kids.apply(i)) for i in range(kids.size()))])
+
+    assert 0 < rows(plan) <= 40 * n
+
+
+def test_scope_of_repeated_rows_and_missing_ids(spark):
+    t = spark.createDataFrame([(1, "Alpha guide"), (1, "Alpha"), (2, "Beta"), (None, "Gamma"), (3, "Gamma ray"), (4, "one “Alpha part”"), (5, "x 缓存系统设计手册")], "doc_id int, title string")
+    q = spark.createDataFrame([("a", "the alpha guide?"), ("a", "alpha again"), ("b", "beta and alpha"), ("c", "gamma ray?"), ("d", "gamma?"), ("e", "“ha part” 缓存系统设计"), (None, "beta")], "query_id string, question string")
+    assert {r["query_id"]: r["doc_id"] for r in entries.resolve_scope(q, t).collect()} == {"a": 1, "c": 3, "e": 4, None: 2}
+
+
 def test_checked_query_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0])], "id string, v array<double>")
     assert dense.checked(df.where("id = 'a'"), "v", 2).count() == 1
